@@ -14,7 +14,13 @@ def op1_topk(spark, sf_dir):
     return top_k(rows.where(F.col("vec_id") % 20 == 0), rows, k=20).drop("query_key")
 
 
-QUERIES = {"op1_topk": op1_topk}
+def op3_jaccard_join(spark, sf_dir):
+    from quarry.llm.jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"), k=5, percent=75)
+
+
+QUERIES = {"op1_topk": op1_topk, "op3_jaccard_join": op3_jaccard_join}
 
 ORACLES = {
     "op1_topk": """
