@@ -14,13 +14,30 @@ def op1_topk(spark, sf_dir):
     return top_k(rows.where(F.col("vec_id") % 20 == 0), rows, k=20).drop("query_key")
 
 
+def tokenizer(name="byte_bpe_multi_50k.tiktoken"):
+    """(ranks, pattern) of an installed vocabulary."""
+    import public_tokenizers
+
+    from quarry.llm.bpe import load_ranks
+
+    return load_ranks(public_tokenizers.path(name)), public_tokenizers.PATTERN
+
+
+def op2_bpe(spark, sf_dir):
+    from quarry.llm.bpe import decode, encode
+
+    ranks, pattern = tokenizer()
+    out = decode(encode(table(spark, sf_dir, "documents"), ranks, pattern), ranks)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op3_jaccard_join(spark, sf_dir):
     from quarry.llm.jaccard import jaccard_components
 
     return jaccard_components(table(spark, sf_dir, "documents"), k=5, percent=75)
 
 
-QUERIES = {"op1_topk": op1_topk, "op3_jaccard_join": op3_jaccard_join}
+QUERIES = {"op1_topk": op1_topk, "op2_bpe": op2_bpe, "op3_jaccard_join": op3_jaccard_join}
 
 ORACLES = {
     "op1_topk": """
