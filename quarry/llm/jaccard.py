@@ -16,6 +16,9 @@ Only connectivity is asked for, so groups of near copies are never expanded into
 pairs. A child of over LEAF points gives star and neighbour pairs first; when those
 have been verified, only points of a child that lie in different components meet
 again, in trees, in blocks of bounded size.
+
+Pairs that pass the tree's bound meet a finer one of the same kind, over n to 2 n
+groups, before their texts are compared.
 """
 
 from __future__ import annotations
@@ -54,8 +57,46 @@ def _signed(x) -> np.ndarray:
     return np.asarray(x, dtype=np.uint64).view(np.int64)
 
 
+def _fine(s: np.ndarray) -> bytes:
+    """Counts of a power of two of groups, one to two for each shingle; two counts to a byte."""
+    bits = min(max(4, len(s).bit_length()), 14)
+    c = np.minimum(np.bincount((s >> U64(64 - bits)).astype(np.int64), minlength=1 << bits), 15).astype(np.uint8)
+    return (c[::2] << 4 | c[1::2]).tobytes()
+
+
+class _Fine:
+    """Fine counts of some sets, for bounds on pairs of them."""
+
+    def __init__(self, rows: list[bytes]):
+        self.size = np.array([2 * len(r) for r in rows], dtype=np.int64)
+        self.place = np.zeros(len(rows), dtype=np.int64)
+        self.by_size = {}
+        for g in np.unique(self.size).tolist():
+            own = np.flatnonzero(self.size == g)
+            self.place[own] = np.arange(len(own))
+            self.by_size[g] = np.frombuffer(b"".join([rows[i] for i in own]), np.uint8).reshape(len(own), g // 2)
+
+    def _rows(self, i: np.ndarray, g: int, to: int) -> np.ndarray:
+        v = self.by_size[g][self.place[i]]
+        v = np.stack((v >> 4, v & 15), axis=2).reshape(len(i), g).astype(np.int32)
+        v[v == 15] = 1 << 24
+        return v.reshape(len(i), to, g // to).sum(axis=2) if g > to else v
+
+    def bound(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x), dtype=np.int64)
+        kind = self.size[x] * (1 << 20) + self.size[y]
+        for k in np.unique(kind).tolist():
+            ga, gb = k >> 20, k & ((1 << 20) - 1)
+            at = np.flatnonzero(kind == k)
+            step = max(1, (1 << 20) // max(ga, gb))
+            for lo in range(0, len(at), step):
+                some = at[lo : lo + step]
+                out[some] = _least(self._rows(x[some], ga, min(ga, gb)), self._rows(y[some], gb, min(ga, gb)))
+        return out
+
+
 def _profile(batches, k: int):
-    """A row for each text (doc_id, n, set) and rows (null, count, shingle) of those common in a chunk."""
+    """A row for each text (doc_id, n, set, fine) and rows (null, count, shingle) of those common in a chunk."""
     split = Splitter(fold=True)
     for batch in batches:
         ids = batch.column(0)
@@ -71,8 +112,9 @@ def _profile(batches, k: int):
             yield pa.record_batch([
                 pa.concat_arrays([ids.slice(words.first, len(words)).cast(pa.int64()), pa.nulls(int(common.sum()), pa.int64())]),
                 pa.array(np.concatenate([n, count[common]])), pa.array(np.concatenate([marks, _signed(both[at[common]])])),
+                pa.array([_fine(s) for s in sets] + [None] * int(common.sum()), pa.binary()),
                 pa.array(np.concatenate([np.zeros(len(n), bool), np.ones(int(common.sum()), bool)])),
-            ], names=["doc_id", "n", "set", "common"])
+            ], names=["doc_id", "n", "set", "fine", "common"])
 
 
 def _place(h: np.ndarray, hot: np.ndarray) -> np.ndarray:
@@ -276,6 +318,7 @@ def _across(child: pa.Table, percent: int) -> pa.Table:
     """Pairs of points of a child that lie in different components and pass the bound, by a join of its tree."""
     mark, comp, n = (child.column(c).to_numpy().astype(np.int64) for c in ("a", "comp", "n"))
     vec = _wide(np.frombuffer(b"".join(child.column("vec").to_pylist()), np.uint8).reshape(-1, GROUPS))
+    fine = _Fine(child.column("fine").to_pylist())
     tree = Tree(n, vec)
     found = []
     for i, j in tree.leaf_pairs(percent):
@@ -286,32 +329,60 @@ def _across(child: pa.Table, percent: int) -> pa.Table:
             apart &= x < y
         x, y = x[apart], y[apart]
         ok = _passes(n[x], n[y], vec[x], vec[y], percent)
+        x, y = x[ok], y[ok]
+        ok = (100 + percent) * fine.bound(x, y) >= percent * (n[x] + n[y])
         found.append((np.minimum(mark[x[ok]], mark[y[ok]]), np.maximum(mark[x[ok]], mark[y[ok]])))
     a, b = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
     return pa.table({"a": a, "b": b})
 
 
-def _sets(batches, k: int):
+def _finer(batches, percent: int):
+    """The pairs (a, b, n_a, n_b, fine_a, fine_b) that the finer bound leaves."""
+    for batch in batches:
+        n_a, n_b = (batch.column(c).to_numpy() for c in (2, 3))
+        m = batch.num_rows
+        bound = _Fine(batch.column(4).to_pylist() + batch.column(5).to_pylist()).bound(np.arange(m), np.arange(m, 2 * m))
+        yield batch.select([0, 1]).filter(pa.array((100 + percent) * bound >= percent * (n_a + n_b)))
+
+
+def _similar(batches, k: int, percent: int):
+    """The pairs (a, b, text_a, text_b) whose sets are similar enough."""
     split = Splitter(fold=True)
     for batch in batches:
-        for words in split.chunks(batch.column(0)):
+        marks = np.concatenate([batch.column(c).to_numpy() for c in (0, 1)])
+        texts = pa.concat_arrays([batch.column(2), batch.column(3)])
+        one, at = np.unique(marks, return_index=True)
+        sets = []
+        for words in split.chunks(texts.take(pa.array(at))):
             found = grams(words.hashes, k)
-            sets = [distinct_shingles(words, i, found, k) for i in range(len(words))]
-            marks = _signed([_fingerprint(s) for s in sets])
-            off = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-            yield pa.record_batch([pa.array(marks), pa.ListArray.from_arrays(pa.array(off), pa.array(_signed(np.concatenate(sets))))], names=["set", "shingles"])
+            sets += [distinct_shingles(words, i, found, k) for i in range(len(words))]
+        own = {m: s for m, s in zip(one.tolist(), sets, strict=True) if _signed([_fingerprint(s)])[0] == m}  # not another row's with the same id
+        links = []
+        for a, b in zip(*(batch.column(c).to_pylist() for c in (0, 1)), strict=True):
+            x, y = own.get(a), own.get(b)
+            both = len(np.intersect1d(x, y, assume_unique=True)) if x is not None and y is not None else -1
+            links.append(both >= 0 and 100 * both >= percent * (len(x) + len(y) - both))
+        yield batch.select([0, 1]).filter(pa.array(links, pa.bool_()))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
-    pairs = materialise(pairs.distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
-    texts = docs.join(reps.join(wanted, "set"), "doc_id").select("text")
-    sets = materialise(texts.mapInArrow(lambda it: _sets(it, k), "set long, shingles array<long>").dropDuplicates(["set"]))
-    side = lambda c: sets.select(F.col("set").alias(c), F.col("shingles").alias(f"of_{c}"))
-    both = F.size(F.array_intersect("of_a", "of_b"))
-    union = F.size("of_a") + F.size("of_b") - both
-    return materialise(pairs.join(side("a"), "a").join(side("b"), "b").where(100 * both >= percent * union).select("a", "b"))
+_PAIR = "a long, b long"
+
+
+def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The distinct pairs that the finer bound leaves."""
+    side = lambda c: sets.select(F.col("set").alias(c), F.col("n").alias(f"n_{c}"), F.col("fine").alias(f"fine_{c}"))
+    both = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
+    return materialise(both.select("a", "b", "n_a", "n_b", "fine_a", "fine_b").mapInArrow(lambda it: _finer(it, percent), _PAIR))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("set"))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    side = lambda c: texts.select(F.col("set").alias(c), F.col("text").alias(f"text_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
+    return materialise(both.mapInArrow(lambda it: _similar(it, k, percent), _PAIR))
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -327,40 +398,47 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, id_col: s
     Columns: doc_id, n_shingles long, component_id (smallest id reachable by links).
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    profile = materialise(docs.mapInArrow(lambda it: _profile(it, k), "doc_id long, n long, set long, common boolean"))
+    profile = materialise(docs.mapInArrow(lambda it: _profile(it, k), "doc_id long, n long, set long, fine binary, common boolean"))
     common = profile.where("common").groupBy("set").agg(F.sum("n").alias("n")).where("n >= 32")
     common = common.orderBy(F.desc("n"), "set").limit(HOT).collect()
     hot_h = np.array([r["set"] for r in common], dtype=np.int64).view(np.uint64)
     hot_n = np.array([r["n"] for r in common], dtype=np.int64)
-    each = profile.where("not common").select("doc_id", "n", "set")
+    each = profile.where("not common").drop("common")
     total = each.agg(F.coalesce(F.sum(F.col("n") * (100 - percent) / 100 + 1), F.lit(0))).first()[0]
     buckets = max(1, ceil_div(int(total), BUCKET_ENTRIES))
 
     blobs = docs.select("text").mapInArrow(lambda it: _entries(it, k, percent, buckets, hot_h, hot_n), "bucket int, points binary, entries binary")
     met = materialise(blobs.groupBy("bucket").applyInArrow(lambda t: _meet(t, percent), _MET))
-    reps = each.where("n > 0 and doc_id is not null").groupBy("set").agg(F.min("doc_id").alias("doc_id"))
+    known = each.where("n > 0 and doc_id is not null")
+    reps = known.groupBy("set").agg(F.min("doc_id").alias("doc_id"))
+    sets = materialise(known.join(reps, ["set", "doc_id"]).select("set", "doc_id", "n", "fine"))
     # A set whose rows all lack an id links with nothing; rows that repeat an id hang together by it.
-    same_id = each.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("set").alias("a"), F.max("set").alias("b")).where("a <> b").select("a", "b")
-    links = _verified(met.where("b is not null").select("a", "b"), docs, reps, k, percent)
+    same_id = known.groupBy("doc_id").agg(F.min("set").alias("a"), F.max("set").alias("b")).where("a <> b").select("a", "b")
+    pairs = _bounded(met.where("b is not null").select("a", "b"), sets, percent)
+    waiting = met.where("b is null").select("h", "a", "n", "vec")
+    wanted = _ends(pairs).unionByName(waiting.select(F.col("a").alias("set"))).distinct()
+    texts = materialise(docs.join(sets.join(wanted, "set").select("set", "doc_id"), "doc_id").select("set", "text"))
+    links = _verified(pairs, texts, k, percent)
     roots = components(links)
 
-    waiting = met.where("b is null").select("h", "a", "n", "vec")
-    waiting = waiting.join(roots.withColumnRenamed("node", "a"), "a", "left").select("h", "a", F.coalesce("root", "a").alias("comp"), "n", "vec")
-    waiting = materialise(waiting)
-    open_ = waiting.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("a").alias("m")).where("lo <> hi")
+    waiting = materialise(waiting.join(roots.withColumnRenamed("node", "a"), "a", "left").select("h", "a", F.coalesce("root", "a").alias("comp"), "n", "vec"))
+    # Children that hold the same points are one; those within one component are done.
+    like = [F.expr(f"bit_xor(xxhash64(a, {i}))").alias(f"like{i}") for i in range(2)]
+    open_ = waiting.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("a").alias("m"), *like).where("lo <> hi")
+    open_ = open_.groupBy("m", "like0", "like1").agg(F.min("h").alias("h"))
     open_ = materialise(open_.select("h", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
     if not open_.isEmpty():
         own = F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")
-        dealt = waiting.join(open_, "h").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = waiting.join(open_, "h").join(sets.select(F.col("set").alias("a"), "fine"), "a")
+        dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-        again = dealt.select("h", "i", "j", "a", "comp", "n", "vec").groupBy("h", "i", "j").applyInArrow(lambda t: _across(t, percent), "a long, b long")
-        links = links.unionByName(_verified(again, docs, reps, k, percent))
+        again = dealt.select("h", "i", "j", "a", "comp", "n", "vec", "fine").groupBy("h", "i", "j").applyInArrow(lambda t: _across(t, percent), _PAIR)
+        links = links.unionByName(_verified(materialise(again.distinct()), texts, k, percent))
         roots = None
     if roots is None or not same_id.isEmpty():
         roots = components(links.unionByName(same_id))
 
-    full = each.where("n > 0 and doc_id is not null")
-    labelled = full.join(roots.withColumnRenamed("node", "set"), "set", "left").select("doc_id", "n", F.coalesce("root", "set").alias("root"))
+    labelled = known.join(roots.withColumnRenamed("node", "set"), "set", "left").select("doc_id", "n", F.coalesce("root", "set").alias("root"))
     labelled = materialise(labelled)
     least = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     linked = labelled.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
