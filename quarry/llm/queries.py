@@ -37,7 +37,23 @@ def op3_jaccard_join(spark, sf_dir):
     return jaccard_components(table(spark, sf_dir, "documents"), k=5, percent=75)
 
 
-QUERIES = {"op1_topk": op1_topk, "op2_bpe": op2_bpe, "op3_jaccard_join": op3_jaccard_join}
+#: Target weights of the sources; every other source has weight 1.
+MIX_WEIGHTS = {"src0": 3, "src1": 2}
+
+
+def op5_mixing(spark, sf_dir):
+    from quarry.llm.mixing import mixed_ids
+
+    return mixed_ids(table(spark, sf_dir, "documents"), MIX_WEIGHTS, default_weight=1, block_rows=64)
+
+
+def op9_sharding(spark, sf_dir):
+    from quarry.llm.shards import shard
+
+    return shard(table(spark, sf_dir, "documents"), shards=40)
+
+
+QUERIES = {f.__name__: f for f in (op1_topk, op2_bpe, op3_jaccard_join, op5_mixing, op9_sharding)}
 
 ORACLES = {
     "op1_topk": """
@@ -53,4 +69,34 @@ ORACLES = {
         )
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
     """,
+    "op5_mixing": """
+        WITH RECURSIVE src AS (
+            SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) AS n,
+                CASE source WHEN 'src0' THEN 3 WHEN 'src1' THEN 2 ELSE 1 END AS w
+            FROM documents GROUP BY source
+        ), cfg AS (
+            SELECT sum(w)::BIGINT AS q, list(w ORDER BY i) AS ws, list(n ORDER BY i) AS ns FROM src
+        ), cyc AS (
+            SELECT 0::BIGINT AS slot, list_transform(ws, lambda x: 0::BIGINT) AS done, NULL::BIGINT AS pick, list_transform(ws, lambda x: 0::BIGINT) AS had FROM cfg
+            UNION ALL
+            SELECT slot + 1, list_transform(done, lambda d, i: d + CASE WHEN i - 1 = p THEN 1 ELSE 0 END), p, done
+            FROM (
+                SELECT slot, done, q, list_min(list_transform(ws, lambda w, i: CASE
+                    WHEN done[i] < w AND (done[i] * q) // w <= slot
+                    THEN (((done[i] + 1) * q + w - 1) // w) * 2000 + i - 1 ELSE 4611686018427387904 END)) % 2000 AS p
+                FROM cyc, cfg WHERE slot < q
+            )
+        ), turns AS (
+            SELECT pick AS i, had, had[pick + 1] AS turn FROM cyc WHERE pick IS NOT NULL
+        ), num AS (
+            SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR), doc_id) - 1 AS n FROM documents
+        ), b AS (
+            SELECT num.doc_id, num.source, num.n, num.n // 64 AS block, (num.n // 64) // w AS c, src.i, (num.n // 64) % w AS turn
+            FROM num JOIN src ON num.source IS NOT DISTINCT FROM src.source
+        )
+        SELECT doc_id, source, block::BIGINT AS block,
+            list_sum(list_transform(had, lambda h, k: least(h + c * ws[k], (ns[k] + 63) // 64)))::BIGINT AS slot,
+            (list_sum(list_transform(had, lambda h, k: least((h + c * ws[k]) * 64, ns[k]))) + n % 64)::BIGINT AS position
+        FROM b JOIN turns USING (i, turn), cfg
+    """,
 }
