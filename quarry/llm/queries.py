@@ -47,13 +47,33 @@ def op5_mixing(spark, sf_dir):
     return mixed_ids(table(spark, sf_dir, "documents"), MIX_WEIGHTS, default_weight=1, block_rows=64)
 
 
+def held_out():
+    """Rows that no model learns from."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+
+
+def quality_machine(spark, sf_dir):
+    """The quality classifier, fitted on the labelled rows that aren't held out."""
+    from quarry.llm.quality import train
+
+    return train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where(~held_out()), max_train=6000)
+
+
+def op6_quality(spark, sf_dir):
+    from quarry.llm.quality import score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = score(docs, quality_machine(spark, sf_dir), threshold=0.7)
+    return out.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op9_sharding(spark, sf_dir):
     from quarry.llm.shards import shard
 
     return shard(table(spark, sf_dir, "documents"), shards=40)
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_bpe, op3_jaccard_join, op5_mixing, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_bpe, op3_jaccard_join, op5_mixing, op6_quality, op9_sharding)}
 
 ORACLES = {
     "op1_topk": """
