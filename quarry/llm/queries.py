@@ -67,13 +67,19 @@ def op6_quality(spark, sf_dir):
     return out.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op8_html(spark, sf_dir):
+    from quarry.llm.html import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op9_sharding(spark, sf_dir):
     from quarry.llm.shards import shard
 
     return shard(table(spark, sf_dir, "documents"), shards=40)
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_bpe, op3_jaccard_join, op5_mixing, op6_quality, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_bpe, op3_jaccard_join, op5_mixing, op6_quality, op8_html, op9_sharding)}
 
 ORACLES = {
     "op1_topk": """
