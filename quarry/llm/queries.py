@@ -79,7 +79,19 @@ def op9_sharding(spark, sf_dir):
     return shard(table(spark, sf_dir, "documents"), shards=40)
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_bpe, op3_jaccard_join, op5_mixing, op6_quality, op8_html, op9_sharding)}
+#: The secret of the surrogates. A deployment passes its own.
+PII_KEY = b"quarry surrogate key 1"
+
+
+def op10_pii(spark, sf_dir):
+    from quarry.llm.pii import replace
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = replace(docs, PII_KEY)
+    return out.select("doc_id", "text", "n_entities", F.array_join("entity_kinds", ",").alias("entity_kinds"))
+
+
+QUERIES = {f.__name__: f for f in (op1_topk, op2_bpe, op3_jaccard_join, op5_mixing, op6_quality, op8_html, op9_sharding, op10_pii)}
 
 ORACLES = {
     "op1_topk": """
