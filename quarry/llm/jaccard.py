@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm._common import U64, ceil_div, materialise, mix64
 from quarry.llm._components import components
+from quarry.llm._filter import likely
 from quarry.llm._text import Splitter, distinct_shingles, grams
 
 GROUPS = 16
@@ -417,15 +418,18 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, id_col: s
     pairs = _bounded(met.where("b is not null").select("a", "b"), sets, percent)
     waiting = met.where("b is null").select("h", "a", "n", "vec")
     wanted = _ends(pairs).unionByName(waiting.select(F.col("a").alias("set"))).distinct()
-    texts = materialise(docs.join(sets.join(wanted, "set").select("set", "doc_id"), "doc_id").select("set", "text"))
+    wanted = materialise(sets.join(wanted, "set").select("set", "doc_id"))
+    texts = materialise(likely(docs, wanted.select("doc_id")).join(wanted, "doc_id").select("set", "text"))
     links = _verified(pairs, texts, k, percent)
     roots = components(links)
 
     waiting = materialise(waiting.join(roots.withColumnRenamed("node", "a"), "a", "left").select("h", "a", F.coalesce("root", "a").alias("comp"), "n", "vec"))
-    # Children that hold the same points are one; those within one component are done.
-    like = [F.expr(f"bit_xor(xxhash64(a, {i}))").alias(f"like{i}") for i in range(2)]
-    open_ = waiting.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("a").alias("m"), *like).where("lo <> hi")
-    open_ = open_.groupBy("m", "like0", "like1").agg(F.min("h").alias("h"))
+    # Children within one component are done, and so is a child whose points all share the
+    # same larger child: any two of them meet there.
+    open_ = waiting.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("a").alias("m")).where("lo <> hi").select("h", "m")
+    member = materialise(waiting.select("h", "a").join(open_, "h"))
+    top = member.groupBy("a").agg(F.max(F.struct("m", "h"))["h"].alias("top"))
+    open_ = member.join(top, "a").groupBy("h").agg(F.min("top").alias("lo"), F.max("top").alias("hi"), F.max("m").alias("m")).where("lo <> hi or lo = h")
     open_ = materialise(open_.select("h", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
     if not open_.isEmpty():
         own = F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")
