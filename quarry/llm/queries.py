@@ -67,6 +67,12 @@ def op6_quality(spark, sf_dir):
     return out.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op7_lattice(spark, sf_dir):
+    from quarry.llm.lattice import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"), floor=0.98)
+
+
 def op8_html(spark, sf_dir):
     from quarry.llm.html import extract
 
@@ -91,7 +97,7 @@ def op10_pii(spark, sf_dir):
     return out.select("doc_id", "text", "n_entities", F.array_join("entity_kinds", ",").alias("entity_kinds"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_bpe, op3_jaccard_join, op5_mixing, op6_quality, op8_html, op9_sharding, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_bpe, op3_jaccard_join, op5_mixing, op6_quality, op7_lattice, op8_html, op9_sharding, op10_pii)}
 
 ORACLES = {
     "op1_topk": """
