@@ -37,6 +37,12 @@ def op3_jaccard_join(spark, sf_dir):
     return jaccard_components(table(spark, sf_dir, "documents"), k=5, percent=75)
 
 
+def op4_substrings(spark, sf_dir):
+    from quarry.llm.substrings import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), window=20).drop("kept")
+
+
 #: Target weights of the sources; every other source has weight 1.
 MIX_WEIGHTS = {"src0": 3, "src1": 2}
 
@@ -97,7 +103,7 @@ def op10_pii(spark, sf_dir):
     return out.select("doc_id", "text", "n_entities", F.array_join("entity_kinds", ",").alias("entity_kinds"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_bpe, op3_jaccard_join, op5_mixing, op6_quality, op7_lattice, op8_html, op9_sharding, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_bpe, op3_jaccard_join, op4_substrings, op5_mixing, op6_quality, op7_lattice, op8_html, op9_sharding, op10_pii)}
 
 ORACLES = {
     "op1_topk": """
