@@ -40,7 +40,9 @@ BLOCK = 20_000
 #: Entries for a task, by which the number of buckets is set.
 BUCKET_ENTRIES = 1_000_000
 #: Shingles whose order is put last, at most; any choice of them gives the same links.
-HOT = 65_536
+HOT = 262_144
+#: Shingles that a task counts at a time to find common ones.
+PROFILE_SHINGLES = 4_000_000
 _FULL = 255
 _DOC = np.dtype([("set", "<u8"), ("n", "<u4"), ("vec", "u1", GROUPS)])
 _ENTRY = np.dtype([("h", "<u8"), ("doc", "<u2")])
@@ -83,6 +85,15 @@ class _Fine:
         v[v == 15] = 1 << 24
         return v.reshape(len(i), to, g // to).sum(axis=2) if g > to else v
 
+    def coarse(self) -> np.ndarray:
+        """The counts of GROUPS groups."""
+        out = np.zeros((len(self.size), GROUPS), dtype=np.int32)
+        for g in self.by_size:
+            own = np.flatnonzero(self.size == g)
+            for lo in range(0, len(own), 1024):
+                out[own[lo : lo + 1024]] = np.minimum(self._rows(own[lo : lo + 1024], g, GROUPS), 1 << 24)
+        return out
+
     def bound(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         out = np.zeros(len(x), dtype=np.int64)
         kind = self.size[x] * (1 << 20) + self.size[y]
@@ -96,26 +107,44 @@ class _Fine:
         return out
 
 
+def _common(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that stand in four sets or more, and in how many."""
+    both = np.sort(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
+    at = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1]))) if len(both) else np.zeros(0, int)
+    count = np.diff(np.append(at, len(both)))
+    return both[at[count >= 4]], count[count >= 4]
+
+
+_PROFILE = "doc_id long, n long, set long, fine binary, common boolean"
+
+
 def _profile(batches, k: int):
-    """A row for each text (doc_id, n, set, fine) and rows (null, count, shingle) of those common in a chunk."""
+    """A row for each text (doc_id, n, set, fine); rows (null, count, shingle) of those common among many texts."""
     split = Splitter(fold=True)
+    names = ["doc_id", "n", "set", "fine", "common"]
+    waiting, held = [], 0
+
+    def common():
+        h, count = _common(waiting)
+        return pa.record_batch([pa.nulls(len(h), pa.int64()), pa.array(count), pa.array(_signed(h)), pa.nulls(len(h), pa.binary()), pa.array(np.ones(len(h), bool))], names=names)
+
     for batch in batches:
         ids = batch.column(0)
         for words in split.chunks(batch.column(1)):
             found = grams(words.hashes, k)
             sets = [distinct_shingles(words, i, found, k) for i in range(len(words))]
-            n = np.array([len(s) for s in sets], dtype=np.int64)
             marks = _signed([_fingerprint(s) if len(s) else 0 for s in sets])
-            both = np.sort(np.concatenate(sets))
-            at = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1]))) if len(both) else np.zeros(0, int)
-            count = np.diff(np.append(at, len(both)))
-            common = count >= 4
             yield pa.record_batch([
-                pa.concat_arrays([ids.slice(words.first, len(words)).cast(pa.int64()), pa.nulls(int(common.sum()), pa.int64())]),
-                pa.array(np.concatenate([n, count[common]])), pa.array(np.concatenate([marks, _signed(both[at[common]])])),
-                pa.array([_fine(s) for s in sets] + [None] * int(common.sum()), pa.binary()),
-                pa.array(np.concatenate([np.zeros(len(n), bool), np.ones(int(common.sum()), bool)])),
-            ], names=["doc_id", "n", "set", "fine", "common"])
+                ids.slice(words.first, len(words)).cast(pa.int64()), pa.array(np.array([len(s) for s in sets], dtype=np.int64)), pa.array(marks),
+                pa.array([_fine(s) for s in sets], pa.binary()), pa.array(np.zeros(len(sets), bool)),
+            ], names=names)
+            waiting.append(np.concatenate(sets))
+            held += len(waiting[-1])
+            if held >= PROFILE_SHINGLES:
+                yield common()
+                waiting, held = [], 0
+    if waiting:
+        yield common()
 
 
 def _place(h: np.ndarray, hot: np.ndarray) -> np.ndarray:
@@ -250,12 +279,12 @@ class Tree:
         return self.order[i * LEAF : (i + 1) * LEAF]
 
 
-_MET = "a long, b long, h long, n int, vec binary"
-_MET_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("h", pa.int64()), ("n", pa.int32()), ("vec", pa.binary())])
+_MET = "a long, b long, h long"
+_MET_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("h", pa.int64())])
 
 
 def _meet(blobs: pa.Table, percent: int) -> pa.Table:
-    """Candidate pairs (a, b) of a bucket's children; the points of large children as (h, a, n, vec)."""
+    """Candidate pairs (a, b) of a bucket's children; the points of large children as (a, null, h)."""
     points, h, doc = [], [], []
     base = 0
     for p, e in zip(blobs.column("points").to_pylist(), blobs.column("entries").to_pylist(), strict=True):
@@ -308,24 +337,26 @@ def _meet(blobs: pa.Table, percent: int) -> pa.Table:
         note(line[line != pivot], pivot[line != pivot])
         note(line[1:], line[:-1])
     pairs = np.unique(np.concatenate(pairs))
-    met = pa.table({"a": mark[pairs // max(u, 1)], "b": mark[pairs % max(u, 1)], "h": pa.nulls(len(pairs), pa.int64()), "n": pa.nulls(len(pairs), pa.int32()), "vec": pa.nulls(len(pairs), pa.binary())}, schema=_MET_ARROW)
+    met = pa.table({"a": mark[pairs // max(u, 1)], "b": mark[pairs % max(u, 1)], "h": pa.nulls(len(pairs), pa.int64())}, schema=_MET_ARROW)
     wait = np.flatnonzero(size > LEAF)
     who = uid[wait]
-    later = pa.table({"a": mark[who], "b": pa.nulls(len(wait), pa.int64()), "h": h[wait].view(np.int64), "n": points["n"][who].astype(np.int32), "vec": pa.array([v.tobytes() for v in points["vec"][who]], pa.binary())}, schema=_MET_ARROW)
+    later = pa.table({"a": mark[who], "b": pa.nulls(len(wait), pa.int64()), "h": h[wait].view(np.int64)}, schema=_MET_ARROW)
     return pa.concat_tables([met, later])
 
 
 def _across(child: pa.Table, percent: int) -> pa.Table:
-    """Pairs of points of a child that lie in different components and pass the bound, by a join of its tree."""
-    mark, comp, n = (child.column(c).to_numpy().astype(np.int64) for c in ("a", "comp", "n"))
-    vec = _wide(np.frombuffer(b"".join(child.column("vec").to_pylist()), np.uint8).reshape(-1, GROUPS))
+    """Pairs of points of a child that lie in different components and pass the bounds, by a join of its tree.
+
+    Two points that share another, larger child as their top meet there."""
+    mark, comp, n, top, h = (child.column(c).to_numpy().astype(np.int64) for c in ("a", "comp", "n", "top", "h"))
     fine = _Fine(child.column("fine").to_pylist())
+    vec = fine.coarse()
     tree = Tree(n, vec)
     found = []
     for i, j in tree.leaf_pairs(percent):
         x, y = np.meshgrid(tree.leaf(i), tree.leaf(j), indexing="ij")
         x, y = x.ravel(), y.ravel()
-        apart = comp[x] != comp[y]
+        apart = (comp[x] != comp[y]) & ((top[x] != top[y]) | (top[x] == h[0]))
         if i == j:
             apart &= x < y
         x, y = x[apart], y[apart]
@@ -399,8 +430,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, id_col: s
     Columns: doc_id, n_shingles long, component_id (smallest id reachable by links).
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    profile = materialise(docs.mapInArrow(lambda it: _profile(it, k), "doc_id long, n long, set long, fine binary, common boolean"))
-    common = profile.where("common").groupBy("set").agg(F.sum("n").alias("n")).where("n >= 32")
+    profile = materialise(docs.mapInArrow(lambda it: _profile(it, k), _PROFILE))
+    common = profile.where("common").groupBy("set").agg(F.sum("n").alias("n")).where("n >= 16")
     common = common.orderBy(F.desc("n"), "set").limit(HOT).collect()
     hot_h = np.array([r["set"] for r in common], dtype=np.int64).view(np.uint64)
     hot_n = np.array([r["n"] for r in common], dtype=np.int64)
@@ -416,27 +447,28 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, id_col: s
     # A set whose rows all lack an id links with nothing; rows that repeat an id hang together by it.
     same_id = known.groupBy("doc_id").agg(F.min("set").alias("a"), F.max("set").alias("b")).where("a <> b").select("a", "b")
     pairs = _bounded(met.where("b is not null").select("a", "b"), sets, percent)
-    waiting = met.where("b is null").select("h", "a", "n", "vec")
+    waiting = met.where("b is null").select("h", "a")
     wanted = _ends(pairs).unionByName(waiting.select(F.col("a").alias("set"))).distinct()
     wanted = materialise(sets.join(wanted, "set").select("set", "doc_id"))
     texts = materialise(likely(docs, wanted.select("doc_id")).join(wanted, "doc_id").select("set", "text"))
     links = _verified(pairs, texts, k, percent)
     roots = components(links)
 
-    waiting = materialise(waiting.join(roots.withColumnRenamed("node", "a"), "a", "left").select("h", "a", F.coalesce("root", "a").alias("comp"), "n", "vec"))
+    waiting = materialise(waiting.join(roots.withColumnRenamed("node", "a"), "a", "left").select("h", "a", F.coalesce("root", "a").alias("comp")))
     # Children within one component are done, and so is a child whose points all share the
-    # same larger child: any two of them meet there.
+    # same larger child, their top: any two of them meet there.
     open_ = waiting.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("a").alias("m")).where("lo <> hi").select("h", "m")
-    member = materialise(waiting.select("h", "a").join(open_, "h"))
-    top = member.groupBy("a").agg(F.max(F.struct("m", "h"))["h"].alias("top"))
-    open_ = member.join(top, "a").groupBy("h").agg(F.min("top").alias("lo"), F.max("top").alias("hi"), F.max("m").alias("m")).where("lo <> hi or lo = h")
+    member = materialise(waiting.join(open_, "h"))
+    tops = member.groupBy("a").agg(F.max(F.struct("m", "h"))["h"].alias("top"))
+    member = materialise(member.join(tops, "a"))
+    open_ = member.groupBy("h").agg(F.min("top").alias("lo"), F.max("top").alias("hi"), F.max("m").alias("m")).where("lo <> hi or lo = h")
     open_ = materialise(open_.select("h", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
     if not open_.isEmpty():
         own = F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")
-        dealt = waiting.join(open_, "h").join(sets.select(F.col("set").alias("a"), "fine"), "a")
+        dealt = member.join(open_, "h").join(sets.select(F.col("set").alias("a"), "n", "fine"), "a")
         dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-        again = dealt.select("h", "i", "j", "a", "comp", "n", "vec", "fine").groupBy("h", "i", "j").applyInArrow(lambda t: _across(t, percent), _PAIR)
+        again = dealt.select("h", "i", "j", "a", "comp", "top", "n", "fine").groupBy("h", "i", "j").applyInArrow(lambda t: _across(t, percent), _PAIR)
         links = links.unionByName(_verified(materialise(again.distinct()), texts, k, percent))
         roots = None
     if roots is None or not same_id.isEmpty():

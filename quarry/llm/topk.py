@@ -13,13 +13,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quarry.llm._common import ceil_div, materialise
 
 _BLOCK = "block long, dim int, n int, bound double, ids binary, data binary"
-_HITS = T.StructType.fromDDL("query_key string, query_id long, shard int, vec_id long, score long")
+_HITS = "query_key string, query_id long, shard int, vec_id long, score long"
 _HITS_ARROW = pa.schema([("query_key", pa.string()), ("query_id", pa.int64()), ("shard", pa.int32()), ("vec_id", pa.int64()), ("score", pa.int64())])
 _LONG = (-(2**63), 2**63 - 1)
 
