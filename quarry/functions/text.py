@@ -68,7 +68,7 @@ def padded(values: Column) -> Column:
 def iso_day(c: Column) -> Column:
     """The date that a string begins with, as yyyy-mm-dd, if nothing or a time follows; else null."""
     day = F.regexp_extract(c.cast("string"), r"^(\d{4}-\d{2}-\d{2})(?:[T ]|$)", 1)
-    return F.when(day != "", F.try_to_date(day, F.lit("yyyy-MM-dd")))
+    return F.when(day != "", F.try_to_date(day, "yyyy-MM-dd"))
 
 
 def number_text(c: Column) -> Column:

@@ -12,7 +12,7 @@ from quarry.config import Stages, TableConfig, TextJoin
 from quarry.functions import text as X
 from quarry.functions import vectors as V
 from quarry.operators import bm25, changes, evaluate, index, profile, rank, search, stages
-from quarry.plans.query import parse
+from quarry.plans.query import Plan, parse
 
 CONFIGS = {
     "customer": TableConfig("c_custkey", ("c_name", "c_mktsegment", "c_acctbal"), ("c_name", "c_mktsegment")),
@@ -175,7 +175,7 @@ def _typed_sql(column: str, where: str, score: str) -> str:
 
 @query(_typed_sql("emails", "contains(emails, '@mail3.example.com')", _lvl("emails", "@mail3.example.com")))
 def email_match(spark, sf_dir):
-    return search.text_search(_typed_index(spark, sf_dir), parse("@mail3.example.com"), 20).select("record_id", "score", "rank")
+    return search.text_search(_typed_index(spark, sf_dir), Plan("email", value="@mail3.example.com"), 20).select("record_id", "score", "rank")
 
 
 @query(_typed_sql("digits", "contains(digits, '123456')", "CASE WHEN contains(digits, ' 123456 ') THEN 3 WHEN contains(digits, '123456 ') THEN 2 ELSE 1 END"))
@@ -382,11 +382,11 @@ def orphan_prune(spark, sf_dir):
     return changes.prune_vectors(_vectors(spark, sf_dir), live).select("src_table", "record_id")
 
 
-@query(f"WITH {_VIDX} SELECT i.src_table, CAST(count(*) AS BIGINT) AS rows, round(avg(length(source_text) + coalesce(length(enrich_text), 0)), 6) AS chars, round((count(*) * (avg(length(source_text) + coalesce(length(enrich_text), 0)) / 4 + 8) * 20000.0) / 1e6, 2) AS cost FROM idx i LEFT JOIN w USING (src_table, record_id) WHERE w.vec_key IS DISTINCT FROM 'now' GROUP BY i.src_table")
+@query(f"WITH {_VIDX} SELECT i.src_table, CAST(count(*) AS BIGINT) AS rows, round(avg(length(source_text) + coalesce(length(enrich_text), 0)), 6) AS chars, round((count(*) * (avg(length(source_text) + coalesce(length(enrich_text), 0)) / 4 + 8) * 19999.0) / 1e6, 2) AS cost FROM idx i LEFT JOIN w USING (src_table, record_id) WHERE w.vec_key IS DISTINCT FROM 'now' GROUP BY i.src_table")
 def pass_estimate(spark, sf_dir):
     w = _vectors(spark, sf_dir).where(F.col("record_id").cast("long") % 4 != 0)
     est = stages.pass_estimate(_vector_index(spark, sf_dir), w, "now")
-    return est.select("src_table", "rows", F.round("chars", 6).alias("chars"), stages.cost(F.col("rows"), F.col("chars"), 20000.0, 8).alias("cost"))
+    return est.select("src_table", "rows", F.round("chars", 6).alias("chars"), stages.cost(F.col("rows"), F.col("chars"), 19999.0, 8).alias("cost"))
 
 
 @query(f"WITH {_VIDX}, e AS (SELECT src_table, count(*) AS n FROM w WHERE vec_key = 'now' GROUP BY src_table) SELECT src_table, CAST(count(*) AS BIGINT) AS rows, CAST(count(enrich_text) AS BIGINT) AS enriched, CAST(least(count(*), coalesce(any_value(n), 0)) AS BIGINT) AS embedded FROM idx LEFT JOIN e USING (src_table) GROUP BY src_table")
@@ -542,9 +542,9 @@ def profile_decisions(spark, sf_dir):
     return profile.decide(profile.profile(read(spark, sf_dir, "events"), ["event_type", "props"])).select("field", "why")
 
 
-@query("SELECT * FROM (VALUES ('p_name', 1), ('name', 0), ('title', 2), ('description', 8), ('first', 3), ('city', 4), ('x', 9)) t(field, title_rank)")
+@query("SELECT * FROM (VALUES ('p_name', 1), ('name', 0), ('title', 2), ('description', 8), ('first', 3), ('city', 9), ('email', 4), ('x', 9)) t(field, title_rank)")
 def title_ranks(spark, sf_dir):
-    return spark.createDataFrame([(c,) for c in ("p_name", "name", "title", "description", "first", "city", "x")], "field string").select("field", profile.title_rank(F.col("field")).alias("title_rank"))
+    return spark.createDataFrame([(c,) for c in ("p_name", "name", "title", "description", "first", "city", "email", "x")], "field string").select("field", profile.title_rank(F.col("field")).alias("title_rank"))
 
 
 @query("SELECT * FROM (VALUES ('live1', 'f1', 'customer', 4), ('live2', 'f2', 'part', 3)) t(name, file, \"table\", shared)")
