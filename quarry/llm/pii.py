@@ -93,13 +93,16 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     found: list[tuple[int, int, str, str]] = []
     for kind in _kinds(text):
         for m in _FINDERS[kind].finditer(text):
+            if ahead := [s for s, e, _, _ in found if s < m.end(kind) and e > m.start(kind)]:
+                m = _FINDERS[kind].match(text, m.start(), max(m.start(), min(ahead)))  # what stands before the other
+                if m is None:
+                    continue
             start, end = m.span(kind)
             if kind == "email":
                 end = start + len(text[start:end].rstrip("."))
             if kind == "secret" and not re.search(r"\d", m[kind]):
                 continue
-            if all(end <= s or start >= e for s, e, _, _ in found):
-                found.append((start, end, kind, m["title"] if kind == "name" else ""))
+            found.append((start, end, kind, m["title"] if kind == "name" else ""))
     return sorted(found)
 
 

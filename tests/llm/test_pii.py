@@ -29,6 +29,7 @@ def test_finds():
         ("2E78D4BDEC68F18B395A94D7E68821FB27738004", "secret"), ("123-45-6789", "ssn"), ("GB82 WEST 1234 5698 7654 32", "iban"), ("Maria Lopez", "name"),
         ("Lopez", "name"), ("Ørsted", "name"), ("Иванов", "name"), ("Παπά", "name"),
     ]
+    assert [k for *_, k, _ in find("+1 (843) 555-7672 170.106.47.218 and +1 (826) 555-4081 9630123412341234")] == ["phone", "ip", "phone", "card"]
     assert find("a plain text of 12 words, 3.14 and 2019, 1,000,000 or 10.5") == []
 
 
