@@ -61,3 +61,14 @@ class Engine:
             vectors = self.index.sparkSession.createDataFrame([], "src_table string, record_id string, vec_key string, vec array<float>")
         new, vectors, done = changes.apply_changes(self.index, vectors, rows, name, only)
         return Engine(new, vectors, self.stages, self.groups, self.day_first), done
+
+    def records_changed(self, name: str, source: DataFrame, config: TableConfig, ids: list[str], deleted: list[str] = (), tables: dict[str, DataFrame] | None = None) -> tuple[Engine, DataFrame]:
+        """The engine after some records were reported as changed or deleted; an id that the source no longer has is deleted too."""
+        spark = self.index.sparkSession
+        asked = spark.createDataFrame([(str(i),) for i in dict.fromkeys([*ids[:500], *deleted[:500]])], "record_id string")
+        live = source.join(asked.where(~asked.record_id.isin(*map(str, deleted))) if deleted else asked, source[config.pk].cast("string") == asked.record_id, "left_semi")
+        return self.sync(name, live, config, tables, only=asked)
+
+    def status(self) -> DataFrame:
+        """Rows, numbers and dates of each table, and when it was indexed."""
+        return index.stats(self.index)

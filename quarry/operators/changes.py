@@ -116,3 +116,17 @@ def apply_changes(index: DataFrame, vectors: DataFrame, rows: DataFrame, table:
     touched = changes.where("change <> 'unchanged'").select(*keys)
     fresh = rows.join(changes.where("change in ('insert', 'update')").select(*keys), keys, "left_semi")
     return delete(index, touched, keys).unionByName(fresh), delete(vectors, touched, keys), changes
+
+
+def detect_deletes(held: DataFrame, remote_keys: DataFrame, remote_count: int, key: str) -> DataFrame:
+    """Keys that are held and no longer in the source. The narrow pull of keys is only read if the source has fewer rows."""
+    if remote_count >= held.count():
+        return held.select(key).limit(0)
+    return held.select(key).join(remote_keys.select(key), key, "left_anti")
+
+
+def manifest_merge(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Entries of both, those of new in place of old ones of the same key, column by column where new has a value."""
+    cols = [c for c in old.columns if c != key]
+    fresh = new.select(key, *(F.col(c).alias(f"_{c}") for c in cols))
+    return old.join(fresh, key, "full").select(key, *(F.coalesce(f"_{c}", c).alias(c) for c in cols))

@@ -180,3 +180,19 @@ def checked_order(order, ids: list[str], confidence=None) -> tuple[list[str], fl
     except (TypeError, ValueError):
         sure = 0.0
     return kept + [i for i in ids if i not in set(kept)], 0.0 if sure != sure else sure
+
+
+def name_tables(schemas: dict[str, list[str]], held: dict[str, tuple[str, str]], client: Callable[[dict[str, list[str]]], dict[str, str]] | None = None) -> dict[str, tuple[str, str]]:
+    """(signature of the schema, label) for each table. A table whose schema is as it was keeps its label; for the
+    others the client proposes labels, and the raw name, made readable, stands in for what it leaves out or fails at."""
+    from quarry.functions.text import humanise
+
+    sign = {t: hashlib.md5("|".join(sorted(f.lower() for f in fields)).encode()).hexdigest() for t, fields in schemas.items()}
+    todo = {t: fields for t, fields in schemas.items() if held.get(t, ("",))[0] != sign[t]}
+    proposed = {}
+    if todo and client is not None:
+        try:
+            proposed = {t: str(n).strip() for t, n in (client(todo) or {}).items() if t in todo}
+        except Exception:  # a model that fails must not stop a scan
+            proposed = {}
+    return {t: held[t] if t not in todo else (sign[t], proposed.get(t) or humanise(t)) for t in schemas}

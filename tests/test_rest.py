@@ -172,3 +172,15 @@ def test_layers(name):
     for path in root.rglob("*.py"):
         if "llm" not in path.parts:
             assert "quarry.llm" not in path.read_text()
+
+
+def test_deletes_manifests_and_names(spark):
+    held = spark.createDataFrame([(1,), (2,), (3,)], "k int")
+    assert rows(changes.detect_deletes(held, spark.createDataFrame([(1,), (3,)], "k int"), 2, "k")) == [(2,)]
+    assert rows(changes.detect_deletes(held, held.limit(0), 3, "k")) == []
+    old, new = (spark.createDataFrame(r, "t string, n int, m string") for r in ([("a", 1, "x"), ("b", 2, "y")], [("b", 5, None), ("c", 6, "z")]))
+    assert rows(changes.manifest_merge(old, new, "t")) == [("a", 1, "x"), ("b", 5, "y"), ("c", 6, "z")]
+    first = stages.name_tables({"T_people": ["a"], "T_b": ["b"]}, {}, lambda todo: {"T_people": "People", "x": "y"})
+    assert {t: label for t, (_, label) in first.items()} == {"T_people": "People", "T_b": "T B"}
+    assert stages.name_tables({"T_people": ["A"]}, first, lambda todo: 1 / 0) == {"T_people": first["T_people"]}
+    assert stages.name_tables({"T_people": ["c"]}, first, lambda todo: 1 / 0)["T_people"][1] == "T People"

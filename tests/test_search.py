@@ -130,3 +130,10 @@ def test_table_filter_prunes_and_filters_push_down(engine, tmp_path, spark):
     assert re.search(r"PartitionFilters: \[[^\]]*src_table", plan) and "StringContains(search_text,canvas)" in plan.replace(", ", ",")
     assert "WindowGroupLimit" in plan and "source_text" not in plan
     assert [r.record_id for r in df.collect()] == ["R1"]
+
+
+def test_reported_changes(engine):
+    people = engine.tables["people"].withColumn("name", F.when(F.col("id") == "P1", "Matthew Navarre").otherwise(F.col("name")))
+    after, done = engine.records_changed("people", people, CONFIGS["people"], ["P1", "nowhere"], ["P2"])
+    assert {r.record_id: r.change for r in done.collect()} == {"P1": "update", "P2": "delete"}
+    assert after.status().where("src_table = 'people'").first().rows == len(PEOPLE) - 1
