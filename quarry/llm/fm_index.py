@@ -35,18 +35,17 @@ class WaveletMatrix:
             bit = (symbols >> d & 1).astype(bool)
             self.levels.append((Bits(bit), len(symbols) - int(bit.sum())))
             symbols = np.concatenate((symbols[~bit], symbols[bit]))
+        self.begin = np.zeros(0, dtype=np.int64)
+        self.begin = self.rank(np.arange(sigma), np.zeros(sigma, dtype=np.int64), whole=False)  # where a symbol's run begins at the bottom
 
-    def rank(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
+    def rank(self, symbol: np.ndarray, i: np.ndarray, whole: bool = True) -> np.ndarray:
         """How often symbol stands before i, for arrays of both."""
-        start = np.zeros(len(i), dtype=np.int64)
         i = i.astype(np.int64)
         for level, (bits, zeros) in enumerate(self.levels):
             one = (symbol >> (self.depth - 1 - level) & 1).astype(bool)
-            at = bits.rank(np.concatenate((i, start)))
-            ri, rs = at[: len(i)], at[len(i) :]
-            i = np.where(one, zeros + ri, i - ri)
-            start = np.where(one, zeros + rs, start - rs)
-        return i - start
+            ones = bits.rank(i)
+            i = np.where(one, zeros + ones, i - ones)
+        return i - self.begin[symbol] if whole else i
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
@@ -76,23 +75,42 @@ class FMIndex:
         self.tree = WaveletMatrix(text[self.order - 1], sigma)
         self.first = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=sigma))))
 
-    def repeated(self, text: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def step(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The intervals of the patterns with symbol put before; equal questions are asked once."""
+        key = lo * (len(self.order) + 1) + hi
+        order = np.lexsort((symbol, key))
+        k, s = key[order], symbol[order]
+        new = np.concatenate(([True], (k[1:] != k[:-1]) | (s[1:] != s[:-1])))
+        one, back = order[new], np.cumsum(new) - 1
+        s, n = symbol[one], len(one)
+        both = self.tree.rank(np.concatenate((s, s)), np.concatenate((lo[one], hi[one])))
+        out_lo, out_hi = np.empty_like(lo), np.empty_like(hi)
+        out_lo[order], out_hi[order] = (self.first[s] + both[:n])[back], (self.first[s] + both[n:])[back]
+        return out_lo, out_hi
+
+    def repeated(self, text: np.ndarray, at: np.ndarray, length) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Which of the patterns text[a : a + length] occur twice or more, and their intervals (index into at, lo, hi).
 
-        Backward search over all patterns at once; one is given up as soon as a suffix of it occurs once only.
+        length is a number, or one for each pattern. Backward search over all patterns at once; one is
+        given up as soon as a suffix of it occurs once only.
         """
+        length = np.broadcast_to(length, len(at))
         symbol = text[at + length - 1]
         lo, hi, live = self.first[symbol], self.first[symbol + 1], np.arange(len(at))
-        for step in range(2, length + 1):
+        found = []
+        step = 1
+        while len(live):
             keep = hi - lo > 1
+            done = keep & (length[live] == step)
+            found.append((live[done], lo[done], hi[done]))
+            keep &= length[live] > step
             live, lo, hi = live[keep], lo[keep], hi[keep]
-            if not len(live):
-                break
-            symbol = text[at[live] + length - step]
-            both = self.tree.rank(np.concatenate((symbol, symbol)), np.concatenate((lo, hi)))
-            lo, hi = self.first[symbol] + both[: len(live)], self.first[symbol] + both[len(live) :]
-        keep = hi - lo > 1
-        return live[keep], lo[keep], hi[keep]
+            step += 1
+            if len(live):
+                lo, hi = self.step(text[at[live] + length[live] - step], lo, hi)
+        live, lo, hi = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        order = np.argsort(live)
+        return live[order], lo[order], hi[order]
 
     def earliest(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """The first position in the text of each interval's suffixes."""

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from quarry.llm._common import U64, ceil_div, materialise, mix64
 from quarry.llm._filter import likely
 from quarry.llm._text import Splitter, grams
+from quarry.llm.fm_index import FMIndex
 
 GRAM = 5
 #: Entries of minimisers for a bucket, and words for a shard, by which their numbers are set.
@@ -207,30 +208,43 @@ def _same_place(seg: np.ndarray) -> np.ndarray:
     return (seg["doc"][1:] == seg["doc"][:-1]) & (seg["mark"][1:] == seg["mark"][:-1]) & (seg["start"][1:] == seg["start"][:-1])
 
 
+_PRIME = 0x9E3779B97F4A7C15
+
+
+def _runs_marked(hashes: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of each run of words, wherever it stands, from running sums of words by powers."""
+    with np.errstate(over="ignore"):
+        up, down = np.full(len(hashes), _PRIME, np.uint64), np.full(len(hashes), pow(_PRIME, -1, 1 << 64), np.uint64)
+        up[0] = down[0] = 1
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(hashes) * np.cumprod(up))))
+        return mix64((total[start + size] - total[start]) * np.cumprod(down)[start] + size.astype(np.uint64))
+
+
 def _segments(batches, window: int, shards: int, hot: np.ndarray):
     """Blobs of segments and their words, by shard, from (doc_id, text, asked [mark, spans])."""
     split = Splitter()
-    heads, words_of, keys, held = [], [], [], 0
+    parts, held = [], 0
 
     def out():
-        seg = np.array(heads, dtype=_SEGMENT)
-        key = np.array(keys, dtype=[("shard", "<u8"), ("whole", "<u8")])
+        seg, word, shard_key, whole = (np.concatenate(c) for c in zip(*parts, strict=True))
+        size = seg["n"].astype(np.int64) + window - 1
+        begin = np.cumsum(size) - size
         # Equal segments: the first stays, the later ones are repeated throughout.
-        order = np.lexsort((seg["start"], seg["mark"], seg["doc"], key["whole"]))
+        order = np.lexsort((seg["start"], seg["mark"], seg["doc"], whole))
         later, again = np.zeros(len(seg), dtype=bool), np.zeros(len(seg), dtype=bool)
-        later[order[1:]] = key["whole"][order[1:]] == key["whole"][order[:-1]]
-        same = _same_place(seg[order])
-        again[order[1:]] = same & later[order[1:]]  # a row that repeats
+        later[order[1:]] = whole[order[1:]] == whole[order[:-1]]
+        again[order[1:]] = _same_place(seg[order]) & later[order[1:]]  # a row that repeats
         first = np.maximum.accumulate(np.where(again[order], 0, np.arange(len(order))))
         later[order] = later[order[first]]
         seg["kind"] = np.where(later, _DONE, _OPEN)
-        shard = np.where(later, np.arange(len(seg)), (key["shard"] % U64(shards)).astype(np.int64)) % shards
+        shard = np.where(later, np.arange(len(seg)), (shard_key % U64(shards)).astype(np.int64)) % shards
         order = np.argsort(shard, kind="stable")
         order = order[~again[order]]
         rows = []
         for a, b in _pieces(shard[order]):
             own = order[a:b]
-            words = np.concatenate([words_of[i] for i in own if not later[i]] or [np.zeros(0, np.uint64)])
+            sent = own[~later[own]]
+            words = word[np.repeat(begin[sent], size[sent]) + _runs(size[sent])]
             rows.append((int(shard[order[a]]), seg[own].tobytes(), (words & U64(0xFFFFFFFF)).astype("<u4").tobytes(), (words >> U64(32)).astype("u1").tobytes()))
         return pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3))], names=["shard", "segments", "words", "high"])
 
@@ -247,21 +261,23 @@ def _segments(batches, window: int, shards: int, hot: np.ndarray):
                 if not spans:
                     continue
                 spans = np.concatenate(spans)
+                start, n = spans["start"].astype(np.int64), spans["n"].astype(np.int64)
                 low = _lows(h, window)
-                whole = grams(h, window)
-                small = h & _WORDS
-                common = np.isin(low[spans["start"]], hot)
-                for (start, n), alone in zip(spans.tolist(), common.tolist(), strict=True):
-                    pieces = [(s, 1) for s in range(start, start + n)] if alone else [(start, n)]
-                    for s, k in pieces:
-                        heads.append((ids[words.first + i], mark, s, k, 0))
-                        words_of.append(small[s : s + k + window - 1])
-                        keys.append((int(whole[s]) if alone else int(low[s]), _mark(h[s : s + k + window - 1])))
-                        held += k + window - 1
+                alone = np.isin(low[start], hot) if len(hot) else np.zeros(len(start), dtype=bool)
+                key = low[start]
+                if alone.any():  # each window of these by itself
+                    lone = np.repeat(start[alone], n[alone]) + _runs(n[alone])
+                    key = np.concatenate((key[~alone], grams(h, window)[lone]))
+                    start, n = np.concatenate((start[~alone], lone)), np.concatenate((n[~alone], np.ones(len(lone), np.int64)))
+                size = n + window - 1
+                seg = np.zeros(len(start), dtype=_SEGMENT)
+                seg["doc"], seg["mark"], seg["start"], seg["n"] = ids[words.first + i], mark, start, n
+                parts.append((seg, (h & _WORDS)[np.repeat(start, size) + _runs(size)], key, _runs_marked(h, start, size)))
+                held += int(size.sum())
                 if held >= FLUSH:
                     yield out()
-                    heads, words_of, keys, held = [], [], [], 0
-    if heads:
+                    parts, held = [], 0
+    if parts:
         yield out()
 
 
@@ -270,8 +286,6 @@ _HIT = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("spans", pa.bin
 
 def _search(blobs: pa.Table, window: int) -> pa.Table:
     """The spans of windows that start earlier elsewhere, by document, from an FM-index of the shard."""
-    from quarry.llm.fm_index import FMIndex
-
     seg, word, size = [], [], []
     for s, w, high in zip(*(blobs.column(c).to_pylist() for c in ("segments", "words", "high")), strict=True):
         seg.append(np.frombuffer(s, _SEGMENT))
@@ -292,9 +306,15 @@ def _search(blobs: pa.Table, window: int) -> pa.Table:
         place = np.cumsum(size + 1) - size - 1
         text = np.zeros(int((size + 1).sum()), dtype=np.int64)
         text[np.repeat(place, size) + _runs(size)] = symbol[np.repeat(begin, size) + _runs(size)]
-        at = np.repeat(place, n) + _runs(n)
-        own = np.repeat(np.arange(len(n)), n)
         index = FMIndex(text, sigma, window)
+        # What all windows of a segment share comes first: where that is unique, so are they.
+        core = window - n + 1
+        tried = np.ones(len(n), dtype=bool)
+        some = np.flatnonzero((core > 0) & (n > 1))
+        tried[some] = False
+        tried[some[index.repeated(text, (place + n - 1)[some], core[some])[0]]] = True
+        own = np.repeat(np.arange(len(n)), np.where(tried, n, 0))
+        at = place[own] + _runs(np.where(tried, n, 0))
         found, lo, hi = index.repeated(text, at, window)
         later = found[index.earliest(lo, hi) < at[found]]
         s = own[later]
