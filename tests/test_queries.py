@@ -21,7 +21,7 @@ def duck():
 
 
 def plain(df: pd.DataFrame) -> list:
-    value = lambda x: "null" if x is None or x is pd.NaT or x != x else f"{x:.9g}" if isinstance(x, float) else str(x)
+    value = lambda x: "null" if pd.isna(x) else f"{x:.9g}" if isinstance(x, float) else str(x)
     df = df[sorted(df.columns)]
     return sorted(tuple(value(x) for x in r) for r in df.itertuples(index=False))
 
