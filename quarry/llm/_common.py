@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Bytes of text that one vectorised step takes at a time.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text, and distinct pieces, after which a task replays and lets go of its texts.
-FLUSH_BYTES, FLUSH_PIECES = 24 << 20, 400_000
+FLUSH_BYTES, FLUSH_PIECES = 12 << 20, 200_000
 _NONE = np.int32(2**31 - 1)
 
 

@@ -42,7 +42,7 @@ BUCKET_ENTRIES = 1_000_000
 #: Shingles whose order is put last, at most; any choice of them gives the same links.
 HOT = 262_144
 #: Shingles that a task counts at a time to find common ones.
-PROFILE_SHINGLES = 4_000_000
+PROFILE_SHINGLES = 2_000_000
 _FULL = 255
 _DOC = np.dtype([("set", "<u8"), ("n", "<u4"), ("vec", "u1", GROUPS)])
 _ENTRY = np.dtype([("h", "<u8"), ("doc", "<u2")])
@@ -215,7 +215,7 @@ def _entries(batches, k: int, percent: int, buckets: int, hot_h: np.ndarray, hot
                 docs.append((mark, n, vec))
                 parts.append((first, who, bucket))
                 held += len(first)
-                if len(docs) == _NUMBER or held >= 1_000_000:
+                if len(docs) == _NUMBER or held >= 500_000:
                     yield out()
                     docs, parts, held = [], [], 0
     if docs:

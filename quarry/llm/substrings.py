@@ -31,7 +31,7 @@ GRAM = 5
 #: Entries of minimisers for a bucket, and words for a shard, by which their numbers are set.
 BUCKET_ENTRIES, SHARD_WORDS = 1_000_000, 400_000
 #: Entries or words that a task gathers before it sends them on.
-FLUSH = 1_000_000
+FLUSH = 500_000
 #: A minimiser with more segments than this, or than a millionth of all, sends its windows alone.
 HOT = 20_000
 _WORDS = U64((1 << 40) - 1)  # words are told apart by 40 bits, windows thus by length times as many
