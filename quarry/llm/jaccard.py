@@ -283,6 +283,27 @@ _MET = "a long, b long, h long"
 _MET_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("h", pa.int64())])
 
 
+def _inside_another(start: np.ndarray, length: np.ndarray, uid: np.ndarray, large: np.ndarray) -> np.ndarray:
+    """Children whose points all have one other child as their largest: whichever two points meet there meet here too.
+
+    Only children that lie in this bucket as a whole (large) count."""
+    out = np.zeros(len(start), dtype=bool)
+    which = np.flatnonzero(large)
+    if not len(which):
+        return out
+    child = np.repeat(which, length[which])
+    begin = np.cumsum(length[which]) - length[which]
+    row = np.repeat(start[which] - begin, length[which]) + np.arange(len(child))
+    point = uid[row]
+    order = np.lexsort((child, -length[child], point))
+    first = np.concatenate(([True], point[order][1:] != point[order][:-1]))
+    top = np.empty(len(child), dtype=np.int64)
+    top[order] = child[order][np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
+    lo, hi = np.minimum.reduceat(top, begin), np.maximum.reduceat(top, begin)
+    out[which] = (lo == hi) & (lo != which)
+    return out
+
+
 def _meet(blobs: pa.Table, percent: int) -> pa.Table:
     """Candidate pairs (a, b) of a bucket's children; the points of large children as (a, null, h)."""
     points, h, doc = [], [], []
@@ -338,7 +359,8 @@ def _meet(blobs: pa.Table, percent: int) -> pa.Table:
         note(line[1:], line[:-1])
     pairs = np.unique(np.concatenate(pairs))
     met = pa.table({"a": mark[pairs // max(u, 1)], "b": mark[pairs % max(u, 1)], "h": pa.nulls(len(pairs), pa.int64())}, schema=_MET_ARROW)
-    wait = np.flatnonzero(size > LEAF)
+    inside = _inside_another(start, length, uid, (length > LEAF) & ~spread)
+    wait = np.flatnonzero((size > LEAF) & ~np.repeat(inside, length))
     who = uid[wait]
     later = pa.table({"a": mark[who], "b": pa.nulls(len(wait), pa.int64()), "h": h[wait].view(np.int64)}, schema=_MET_ARROW)
     return pa.concat_tables([met, later])

@@ -102,3 +102,11 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {x: got.get(x, x) for x in root} == root
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_children_inside_others():
+    sets = [[1, 2, 3, 4], [2, 3], [1, 2, 3, 4], [4, 5], [5], [6, 7]]
+    length = np.array([len(x) for x in sets])
+    got = jaccard._inside_another(np.cumsum(length) - length, length, np.concatenate(sets), np.array([True] * 5 + [False]))
+    # [4, 5] reaches over the border of [1, 2, 3, 4]; [5] lies in it; of equal ones the first stays.
+    assert got.tolist() == [False, True, True, False, True, False]
