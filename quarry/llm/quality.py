@@ -212,8 +212,9 @@ def score(docs: DataFrame, machine: Machine, threshold: float = 0.7, text_col: s
     Only the whole text decides; null texts are scored as empty ones. Columns of docs named
     score or predicted are replaced; every other column is kept.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(machine)  # N_FEATURES * (factors + 1) numbers
+    # N_FEATURES * (factors + 1) numbers, as plain arrays: a class would need the package on the executors.
+    sent = docs.sparkSession.sparkContext.broadcast((machine.bias, machine.w, machine.v))
     docs = docs.drop("score", "predicted")
     at = docs.columns.index(text_col)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(lambda it: _scores(it, sent.value, threshold, at), f"{schema}, score double, predicted int")
+    return docs.mapInArrow(lambda it: _scores(it, Machine(*sent.value), threshold, at), f"{schema}, score double, predicted int")
