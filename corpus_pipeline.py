@@ -48,10 +48,10 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of every text, and a digest of them and of what they decode to."""
-    from quarry.llm.bpe import decode, encode
+    from quarry.llm.bpe import encode
 
     ranks, pattern = q.tokenizer()
-    out = decode(encode(docs, ranks, pattern, keep=("doc_id", "lang", "source")), ranks)
+    out = encode(docs, ranks, pattern, keep=("doc_id", "lang", "source"), decoded=True)
     return out.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +62,14 @@ def drop_written() -> None:
 atexit.register(drop_written)
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers are kept for later tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser on uint64."""
     with np.errstate(over="ignore"):

@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm._common import release
+
 #: Bytes of text, and distinct pieces, after which a task replays and lets go of its texts.
 FLUSH_BYTES, FLUSH_PIECES = 12 << 20, 200_000
 _NONE = np.int32(2**31 - 1)
@@ -171,8 +173,13 @@ class Encoder:
         return self.tokens[np.repeat(self.begin[pieces] - ends + count, count) + np.arange(total)]
 
 
-def _encode(batches, ranks: dict[bytes, int], pattern: str, text_at: int):
+def _joined(words: dict[int, bytes], ids: np.ndarray) -> bytes:
+    return b"".join(map(words.__getitem__, ids.tolist()))
+
+
+def _encode(batches, ranks: dict[bytes, int], pattern: str, text_at: int, decoded: bool = False):
     encoder = Encoder(Merges(ranks), pattern)
+    words = {rank: token for token, rank in ranks.items()}
     waiting: list[tuple[pa.RecordBatch, list]] = []
     held = 0
 
@@ -180,9 +187,10 @@ def _encode(batches, ranks: dict[bytes, int], pattern: str, text_at: int):
         encoder.learn()
         for batch, cut in waiting:
             ids = [encoder.ids(x) for x in cut]
+            packed = [x.astype("<u4").tobytes() for x in ids]
+            more = [pa.array([_joined(words, np.frombuffer(x, "<u4")) for x in packed], pa.binary())] if decoded else []
             yield pa.record_batch(
-                [*batch.columns, pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())],
-                names=[*batch.schema.names, "n_tokens", "ids"],
+                [*batch.columns, pa.array([len(x) for x in ids], pa.int64()), pa.array(packed, pa.binary()), *more], names=[*batch.schema.names, "n_tokens", "ids", *["decoded"] * decoded]
             )
         waiting.clear()
         if len(encoder.numbers) > FLUSH_PIECES:
@@ -198,27 +206,30 @@ def _encode(batches, ranks: dict[bytes, int], pattern: str, text_at: int):
                 yield from out()
                 held = 0
     yield from out()
+    encoder.forget()
+    release()
 
 
 def _decode(batches, ranks: dict[bytes, int], ids_at: int):
     words = {rank: token for token, rank in ranks.items()}
     for batch in batches:
-        texts = [b"".join(map(words.__getitem__, np.frombuffer(x, "<u4").tolist())) if x is not None else None for x in batch.column(ids_at).to_pylist()]
+        texts = [_joined(words, np.frombuffer(x, "<u4")) if x is not None else None for x in batch.column(ids_at).to_pylist()]
         yield batch.append_column("decoded", pa.array(texts, pa.binary()))
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), decoded: bool = False) -> DataFrame:
     """Each row's token ids: what the tiktoken library's encode_ordinary returns.
 
     Columns: those in keep, as they come, n_tokens long, ids binary (little-endian
-    unsigned 32-bit integers; ``unpacked`` gives an array). Null texts count as empty and
+    unsigned 32-bit integers; ``unpacked`` gives an array); with decoded, also what these
+    bytes decode to, as ``decode`` gives it, without another pass. Null texts count as empty and
     give no id. Rows are handled one by one, so repeated ids and ties need no rule; texts
     of any length are encoded whole. ranks must hold all 256 single bytes.
     """
     sent = docs.sparkSession.sparkContext.broadcast(ranks)  # a vocabulary: its size doesn't grow with the data
     rows = docs.select(*keep, F.col(text_col).alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(lambda it: _encode(it, sent.value, pattern, len(keep)), f"{schema}, n_tokens long, ids binary")
+    return rows.mapInArrow(lambda it: _encode(it, sent.value, pattern, len(keep), decoded), f"{schema}, n_tokens long, ids binary" + ", decoded binary" * decoded)
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids") -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._common import U64, ceil_div, materialise, mix64
+from quarry.llm._common import U64, ceil_div, materialise, mix64, release
 from quarry.llm._components import components
 from quarry.llm._filter import likely
 from quarry.llm._text import Splitter, distinct_shingles, grams
@@ -145,6 +145,7 @@ def _profile(batches, k: int):
                 waiting, held = [], 0
     if waiting:
         yield common()
+    release()
 
 
 def _place(h: np.ndarray, hot: np.ndarray) -> np.ndarray:
@@ -220,6 +221,7 @@ def _entries(batches, k: int, percent: int, buckets: int, hot_h: np.ndarray, hot
                     docs, parts, held = [], [], 0
     if docs:
         yield out()
+    release()
 
 
 def _least(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._common import U64
+from quarry.llm._common import U64, release
 from quarry.llm._text import Splitter
 
 #: Words fall into so many features.
@@ -168,17 +168,18 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, factors:
 
 
 def _bags(batches):
-    """(label, features, values) of each (label, text)."""
+    """(id, label, features, values) of each (id, label, text)."""
     split = Splitter(fold=True)
     for batch in batches:
-        for words in split.chunks(batch.column(1)):
+        for words in split.chunks(batch.column(2)):
             feature, off, binned = _features(words)
             features, values = [], []
             for i in range(len(words)):
                 own, times = np.unique(feature[off[i] : off[i + 1]], return_counts=True)
                 features.append(np.concatenate((own, binned[i])))
                 values.append(np.concatenate((times / max(1, times.sum()), np.full(N_STATS, STAT_VALUE))))
-            yield pa.record_batch([batch.column(0).slice(words.first, len(words)), pa.array(features, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], names=["label", "features", "values"])
+            own = batch.slice(words.first, len(words))
+            yield pa.record_batch([own.column(0), own.column(1), pa.array(features, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], names=["id", "label", "features", "values"])
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = 6000, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", **how) -> Machine:
@@ -193,8 +194,9 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 6000, label_col:
     known = known.groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
     known = known.orderBy(F.md5(F.col("_id").cast("string").cast("binary")), "_id").limit(max_train)
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    rows = texts.join(F.broadcast(known), "_id").select("_label", "_text")
-    found = rows.mapInArrow(_bags, "label int, features array<int>, values array<float>").limit(2 * max_train).toArrow()
+    rows = texts.join(F.broadcast(known), "_id").select("_id", "_label", "_text")
+    found = rows.mapInArrow(_bags, "id long, label int, features array<int>, values array<float>").limit(2 * max_train).toArrow()
+    found = found.sort_by("id")  # so that the model doesn't depend on the order in which tasks end
     bags = [(np.array(f.as_py(), dtype=np.int64), np.array(v.as_py(), dtype=np.float64)) for f, v in zip(found.column("features"), found.column("values"), strict=True)]
     return fit(bags, found.column("label").to_numpy().astype(np.float64), **how)
 
@@ -204,6 +206,7 @@ def _scores(batches, machine: Machine, threshold: float, text_at: int):
     for batch in batches:
         score = np.concatenate([machine.score(words) for words in split.chunks(batch.column(text_at))]) if batch.num_rows else np.zeros(0)
         yield batch.append_column("score", pa.array(score)).append_column("predicted", pa.array((score >= threshold).astype(np.int32)))
+    release()
 
 
 def score(docs: DataFrame, machine: Machine, threshold: float = 0.7, text_col: str = "text") -> DataFrame:

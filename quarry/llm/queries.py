@@ -24,10 +24,10 @@ def tokenizer(name="byte_bpe_multi_50k.tiktoken"):
 
 
 def op2_bpe(spark, sf_dir):
-    from quarry.llm.bpe import decode, encode
+    from quarry.llm.bpe import encode
 
     ranks, pattern = tokenizer()
-    out = decode(encode(table(spark, sf_dir, "documents"), ranks, pattern), ranks)
+    out = encode(table(spark, sf_dir, "documents"), ranks, pattern, decoded=True)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

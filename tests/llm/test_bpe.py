@@ -56,6 +56,8 @@ def test_operator(spark, monkeypatch, flush):
     got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, bpe.unpacked(r.ids), bytes(r.decoded)) for r in out.collect())
     want = sorted((-1 if i is None else i, len(TRUE.encode_ordinary(t or "")), TRUE.encode_ordinary(t or ""), (t or "").encode()) for i, t, *_ in rows)
     assert got == want
+    both = bpe.encode(df, RANKS, public_tokenizers.PATTERN, decoded=True)
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, bpe.unpacked(r.ids), bytes(r.decoded)) for r in both.collect()) == want
     assert out.columns == ["doc_id", "n_tokens", "ids", "decoded"]
     assert bpe.encode(df.limit(0), RANKS, public_tokenizers.PATTERN).collect() == []
 
