@@ -3,7 +3,9 @@
 Every stage takes what its predecessor kept, and its decisions take effect: documents that
 the classifier rejects and all but one of each group of near duplicates go; entities are
 replaced in the text; the order of rows becomes that of the mixture; the last stage returns
-the token ids. All stages but the last return the columns of documents.
+the token ids. All stages but the last return the columns of documents. A table that is
+written and read again keeps no order of rows (Spark reads files by size), so the last stage
+finds each row's place in the mixture again and returns it beside the ids.
 """
 
 from __future__ import annotations
@@ -39,20 +41,26 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
-def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, written in the order of the mixture."""
+def _placed(docs: DataFrame) -> DataFrame:
+    """docs in the order of the mixture, with block, slot and position: they follow from ids, sources and counts alone."""
     from quarry.llm.mixing import mix
 
-    return mix(docs, q.MIX_WEIGHTS, default_weight=1, block_rows=64).orderBy("position").select(*docs.columns)
+    return mix(docs, q.MIX_WEIGHTS, default_weight=1, block_rows=64).orderBy("position")
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, written in the order of the mixture."""
+    return _placed(docs).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of every text, and a digest of them and of what they decode to."""
+    """The token ids of every text, a digest of them and of what they decode to, and the row's place in the mixture, in its order."""
     from quarry.llm.bpe import encode
 
     ranks, pattern = q.tokenizer()
-    out = encode(docs, ranks, pattern, keep=("doc_id", "lang", "source"), decoded=True)
-    return out.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    placed = _placed(docs.select("doc_id", "lang", "source", "text"))
+    out = encode(placed, ranks, pattern, keep=("doc_id", "lang", "source", "block", "slot", "position"), decoded=True)
+    return out.select("doc_id", "lang", "source", "block", "slot", "position", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("pii", pii), ("mixing", mixing), ("bpe", tokens)]

@@ -46,3 +46,19 @@ def test_mixing_orders_rows(spark):
     want = {r.doc_id: r.position for r in mixed_ids(documents, q.MIX_WEIGHTS).collect()}
     got = [want[r.doc_id] for r in mixed.collect()]
     assert got == sorted(got) and len(got) == documents.count()
+
+
+def test_place_outlasts_files(spark):
+    # Files of a few rows, read by size: the mixing stage's order of rows is lost between the stages.
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "7")
+    try:
+        out = corpus_pipeline.run(spark, SF).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    from quarry.llm.mixing import mixed_ids
+
+    documents = table(spark, SF, "documents")
+    kept = documents.where(documents.doc_id.isin([r.doc_id for r in out]))
+    want = {r.doc_id: (r.block, r.slot, r.position) for r in mixed_ids(kept, q.MIX_WEIGHTS).collect()}
+    assert {r.doc_id: (r.block, r.slot, r.position) for r in out} == want
+    assert [r.position for r in out] == list(range(len(want)))
