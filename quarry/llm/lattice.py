@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from quarry.llm._common import U64, ceil_div, materialise, mix64
 from quarry.llm._components import components
 
-#: Tables, and cells that a vector visits in each besides its own.
+#: Tables, at least, and cells that a vector visits in each besides its own.
 TABLES, VISITS = 4, 6
 #: Rows of a cell that a block holds, about; a larger cell is dealt in several.
 BLOCK = 2048
@@ -64,14 +64,24 @@ def nearest_e8(x: np.ndarray) -> np.ndarray:
     return np.where((((x - a) ** 2).sum(axis=1) <= ((x - b) ** 2).sum(axis=1))[:, None], a, b)
 
 
+def parts_for(n: int) -> int:
+    """E8 decodings side by side for n distinct vectors: 2 below 2^17, 3 from there, 4 from 2^25, and so on, so that cells stay small."""
+    return max(2, ceil_div(n.bit_length() - 1, 8))
+
+
+def tables_for(parts: int) -> int:
+    """Tables that keep the recall flat while more parts make cells finer."""
+    return max(TABLES, parts * (parts + 1) // 2)
+
+
 class Hasher:
     """Cells of unit vectors in each table, own and visited."""
 
     def __init__(self, dim: int, parts: int, seed: int = 11):
         rng = np.random.default_rng([seed, dim])
-        self.parts = parts
+        self.parts, self.tables = parts, tables_for(parts)
         self.maps, self.shifts = [], []
-        for _ in range(TABLES):
+        for _ in range(self.tables):
             width = 8 * parts
             m = rng.normal(size=(dim, width))
             if dim >= width:
@@ -81,7 +91,7 @@ class Hasher:
             self.maps.append(m * SCALE)
             self.shifts.append(rng.uniform(0, 2, width))
         self.minimal = _minimal()
-        self.salt = rng.integers(1, 2**63, (TABLES, width), dtype=np.uint64) | U64(1)
+        self.salt = rng.integers(1, 2**63, (self.tables, width), dtype=np.uint64) | U64(1)
 
     def _key(self, t: int, points: np.ndarray) -> np.ndarray:
         """64-bit names of lattice points (rows), whose doubled coordinates are integers."""
@@ -89,11 +99,11 @@ class Hasher:
             return mix64(((2 * points).astype(np.int64).view(np.uint64) * self.salt[t]).sum(axis=-1, dtype=np.uint64) + U64(t))
 
     def cells(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, TABLES) own cells and (rows, TABLES, VISITS) visited ones."""
+        """(rows, tables) own cells and (rows, tables, VISITS) visited ones."""
         n = len(unit)
-        own = np.empty((n, TABLES), dtype=np.uint64)
-        visited = np.empty((n, TABLES, VISITS), dtype=np.uint64)
-        for t in range(TABLES):
+        own = np.empty((n, self.tables), dtype=np.uint64)
+        visited = np.empty((n, self.tables, VISITS), dtype=np.uint64)
+        for t in range(self.tables):
             x = unit @ self.maps[t] + self.shifts[t]
             p = np.concatenate([nearest_e8(x[:, 8 * i : 8 * i + 8]) for i in range(self.parts)], axis=1)
             own[:, t] = self._key(t, p)
@@ -169,20 +179,20 @@ _COUNTED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 def _first_way(cx: np.ndarray, cy: np.ndarray) -> np.ndarray:
     """In how many ways rows of cx and cy could meet before they do: 3 t with equal own cells of table t,
     3 t + 1 if x visits y's, 3 t + 2 if y visits x's."""
-    out = np.full(len(cx), 3 * TABLES, dtype=np.int64)
-    for t in range(TABLES - 1, -1, -1):
+    out = np.full(len(cx), 3 * cx.shape[1], dtype=np.int64)
+    for t in range(cx.shape[1] - 1, -1, -1):
         out[(cy[:, t, 1:] == cx[:, t, :1]).any(axis=1)] = 3 * t + 2
         out[(cx[:, t, 1:] == cy[:, t, :1]).any(axis=1)] = 3 * t + 1
         out[cx[:, t, 0] == cy[:, t, 0]] = 3 * t
     return out
 
 
-def _compare(rows: pa.Table, floor: float, kind: str) -> pa.Table:
+def _compare(rows: pa.Table, floor: float, kind: str, tables: int) -> pa.Table:
     """Link counts (a, null, n) and forest edges (a, b, 0) of the pairs that meet first in these blocks."""
     node, weight = (rows.column(c).to_numpy() for c in ("node", "weight"))
-    way = rows.column("way").to_numpy().astype(np.int64)  # table of an own cell, or TABLES + that of a visited one
+    way = rows.column("way").to_numpy().astype(np.int64)  # table of an own cell, or tables + that of a visited one
     side = rows.column("side").to_numpy()
-    cells = rows.column("cells").combine_chunks().flatten().to_numpy().reshape(len(node), TABLES, VISITS + 1)
+    cells = rows.column("cells").combine_chunks().flatten().to_numpy().reshape(len(node), tables, VISITS + 1)
     block = np.stack([rows.column(c).to_numpy() for c in ("cell", "i", "j")])
     order = np.lexsort((*block, *[rows.column("label").combine_chunks().dictionary_encode().indices.to_numpy()]))
     sorted_ = block[:, order]
@@ -205,14 +215,14 @@ def _compare(rows: pa.Table, floor: float, kind: str) -> pa.Table:
 
     def meet(i: np.ndarray, j: np.ndarray, unit: np.ndarray) -> None:
         """Pairs of a row that stands in the cell and one that stands in it or visits it."""
-        home = way[j] < TABLES
+        home = way[j] < tables
         keep = (node[i] != node[j]) & (~home | (node[i] < node[j]))
         i, j = i[keep], j[keep]
         keep = np.einsum("ij,ij->i", unit[place[i]], unit[place[j]]) >= floor
         i, j = i[keep], j[keep]
         swap = node[i] > node[j]
         x, y = np.where(swap, j, i), np.where(swap, i, j)
-        now = np.where(way[j] < TABLES, 3 * way[j], 3 * (way[j] - TABLES) + np.where(x == j, 1, 2))
+        now = np.where(way[j] < tables, 3 * way[j], 3 * (way[j] - tables) + np.where(x == j, 1, 2))
         first = now == _first_way(cells[x], cells[y])
         x, y = x[first], y[first]
         for a, b in ((x, y), (y, x)):
@@ -229,7 +239,7 @@ def _compare(rows: pa.Table, floor: float, kind: str) -> pa.Table:
     for lo, hi in zip(cut[:-1], cut[1:], strict=True):
         own = order[lo:hi]
         left, right = own[side[own] != 1], own[side[own] != 0]
-        left = left[way[left] < TABLES]
+        left = left[way[left] < tables]
         step = max(1, (1 << 18) // max(1, len(right)))
         for k in range(0, len(left), step):
             i, j = np.repeat(left[k : k + step], len(right)), np.tile(right, len(left[k : k + step]))
@@ -263,7 +273,9 @@ def near_duplicates(vectors: DataFrame, floor: float = 0.98, id_col: str = "vec_
     compared. Equal vectors of a label always link (also below the precision of a cosine).
     Rows that repeat an id are one vector, that of the smallest (label, vector); each keeps a
     row. Cosines are computed in double precision. Pairs are found by hashing, so a few may be
-    missed (the tests measure the recall); none below floor is linked. Other columns are ignored.
+    missed (the tests measure the recall); none below floor is linked. The number of distinct
+    vectors sets the E8 parts of a cell (parts_for), and these the number of tables
+    (tables_for), so that the recall doesn't fall as the input grows. Other columns are ignored.
 
     Columns: vec_id, n_links long (vectors linked directly), component_id (smallest vec_id
     reachable), kept boolean (vec_id = component_id; true for rows without an id).
@@ -276,23 +288,24 @@ def near_duplicates(vectors: DataFrame, floor: float = 0.98, id_col: str = "vec_
     classes = usable.groupBy("mark", "label", "vec").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("weight"))
     n = max(2, classes.count())
     named = classes.select("node", "weight", "vec", "label").select("node", "label", "vec", "weight")
-    parts = max(2, ceil_div(n.bit_length() - 1, 8))
+    parts = parts_for(n)
+    tables = tables_for(parts)
     named = materialise(named.mapInArrow(lambda it: _named(it, parts, kind), "node long, label string, vec binary, weight long, cells array<long>"))
 
     width = VISITS + 1
     entries = named.select("node", "label", F.posexplode("cells").alias("pos", "cell"))
     table, home = F.floor(F.col("pos") / width).cast("int"), F.col("pos") % width == 0
-    entries = entries.select("node", "label", "cell", F.when(home, table).otherwise(table + TABLES).alias("way"))
-    busy = entries.groupBy("label", "cell").agg(F.count(F.lit(1)).alias("m"), F.count(F.when(F.col("way") < TABLES, 1)).alias("homes")).where("homes > 0 and m > 1")
+    entries = entries.select("node", "label", "cell", F.when(home, table).otherwise(table + tables).alias("way"))
+    busy = entries.groupBy("label", "cell").agg(F.count(F.lit(1)).alias("m"), F.count(F.when(F.col("way") < tables, 1)).alias("homes")).where("homes > 0 and m > 1")
     entries = entries.join(busy, ["label", "cell"]).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
     entries = entries.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    right = entries.select("node", "label", "cell", "way", F.col("other").alias("i"), F.col("own").alias("j"), F.when((F.col("other") == F.col("own")) & (F.col("way") < TABLES), 2).otherwise(1).alias("side"))
-    left = entries.where((F.col("way") < TABLES) & (F.col("other") != F.col("own"))).select("node", "label", "cell", "way", F.col("own").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"))
+    right = entries.select("node", "label", "cell", "way", F.col("other").alias("i"), F.col("own").alias("j"), F.when((F.col("other") == F.col("own")) & (F.col("way") < tables), 2).otherwise(1).alias("side"))
+    left = entries.where((F.col("way") < tables) & (F.col("other") != F.col("own"))).select("node", "label", "cell", "way", F.col("own").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"))
     dealt = materialise(right.unionByName(left))
     buckets = max(1, ceil_div(dealt.count(), BUCKET_ROWS))
     dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("label", "cell", "i", "j"), F.lit(buckets)))
     full = dealt.join(named.select("node", "vec", "weight", "cells"), "node")
-    counted = materialise(full.groupBy("bucket").applyInArrow(lambda t: _compare(t, floor, kind), "a long, b long, n long"))
+    counted = materialise(full.groupBy("bucket").applyInArrow(lambda t: _compare(t, floor, kind, tables), "a long, b long, n long"))
 
     roots = components(counted.where("b is not null").select("a", "b"))
     links = counted.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))

@@ -95,3 +95,26 @@ def test_recall_at_the_threshold(parts):
     recall = (lattice._first_way(x, y) < 3 * lattice.TABLES).mean()
     print("recall of pairs at cosine 0.980 to 0.983:", recall)
     assert recall >= (0.99 if parts == 2 else 0.9)
+
+
+@pytest.mark.parametrize("parts", [2, 3, 4, 5, 6])
+def test_recall_does_not_fall_with_parts(parts):
+    rng = np.random.default_rng(1)
+    a = lattice._units(rng.normal(size=(4000, 64)))
+    side = rng.normal(size=a.shape)
+    side = lattice._units(side - (side * a).sum(axis=1, keepdims=True) * a)
+    hasher = Hasher(64, parts)
+    x, y = (np.concatenate((o[:, :, None], v), axis=2) for o, v in (hasher.cells(a), hasher.cells(0.98 * a + math.sqrt(1 - 0.98**2) * side)))
+    assert (lattice._first_way(x, y) < 3 * x.shape[1]).mean() >= 0.999
+
+
+def test_parts_follow_the_count():
+    assert [lattice.parts_for(n) for n in (2, 2**17 - 1, 2**17, 2**25 - 1, 2**25)] == [2, 2, 3, 3, 4]
+
+
+def test_three_parts_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(lattice, "parts_for", lambda n: 3)
+    rows = [(i, [float(x) for x in np.float32(v)], 1) for i, v in enumerate(clouds(np.random.default_rng(5), 64, 80))]
+    links, root = brute(rows)
+    got = near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert {r.vec_id: r.n_links for r in got} == links and {r.vec_id: r.component_id for r in got} == root
