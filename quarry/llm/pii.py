@@ -249,27 +249,48 @@ def _email_part(key: bytes, tweak: str, part: str) -> str:
     return "".join("abcdefghijklmnopqrstuvwxyz"[f // 26**i % 26] for i in range(max(8, len(part))))
 
 
-_FOUND = "kind string, entity string, made string"
+_FORMS = "kind string, entity string, value string, context string"
 
 
-def _entities(batches, key: bytes, draws: dict):
-    """(kind, entity, surrogate) of each distinct entity of a batch."""
+def _forms(batches):
+    """(kind, entity, value, context) of each distinct way in which a batch writes an entity."""
     for batch in batches:
-        seen = {}
+        seen = set()
         for text in batch.column(0).to_pylist():
             for start, end, kind, context in find(text) if text else ():
-                value = text[start:end]
-                entity = normal(kind, value, context)
-                if (kind, entity) not in seen:
-                    made = surrogate(key, kind, entity, value, draws.get((kind, entity), 0))
-                    seen[kind, entity] = normal(kind, made, context) if kind != "name" else f"{entity.partition('|')[0]}|{made}"
-        yield pa.record_batch([pa.array(c, pa.string()) for c in ([k for k, _ in seen], [e for _, e in seen], list(seen.values()))], names=["kind", "entity", "made"])
+                seen.add((kind, normal(kind, text[start:end], context), text[start:end], context))
+        columns = list(zip(*seen, strict=True)) or [[]] * 4
+        yield pa.record_batch([pa.array(c, pa.string()) for c in columns], names=["kind", "entity", "value", "context"])
+
+
+def _made(batches, key: bytes):
+    """Rows of _FORMS and draw with the normal form of their surrogate."""
+    for batch in batches:
+        made = []
+        for kind, entity, value, context, draw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            new = surrogate(key, kind, entity, value, draw)
+            made.append(normal(kind, new, context) if kind != "name" else f"{entity.partition('|')[0]}|{new}")
+        yield batch.append_column("made", pa.array(made, pa.string()))
+
+
+def _mentioned(batches):
+    """(_row, kind, entity) of each distinct entity of a row."""
+    for batch in batches:
+        out = []
+        for row, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            out += {(row, k, normal(k, text[s:e], c)) for s, e, k, c in find(text)}
+        columns = list(zip(*out, strict=True)) or [[]] * 3
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string()), strict=True)], names=["_row", "kind", "entity"])
 
 
-def _replaced(batches, key: bytes, draws: dict, text_at: int):
+def _replaced(batches, key: bytes, draws: dict | None, text_at: int):
+    """Rows with their text replaced. Without draws the last column holds each row's own, and goes."""
     for batch in batches:
         texts, counts, kinds = [], [], []
-        for text in batch.column(text_at).to_pylist():
+        own = batch.column(batch.num_columns - 1).to_pylist() if draws is None else [None] * batch.num_rows
+        batch = batch if draws is not None else batch.select(batch.schema.names[:-1])
+        for text, mine in zip(batch.column(text_at).to_pylist(), own, strict=True):
+            again = draws if draws is not None else {(d["kind"], d["entity"]): d["draw"] for d in mine or ()}
             if text is None:
                 texts.append(None)
                 counts.append(0)
@@ -279,7 +300,7 @@ def _replaced(batches, key: bytes, draws: dict, text_at: int):
             for start, end, kind, context in got:
                 value = text[start:end]
                 entity = normal(kind, value, context)
-                out += [text[last:start], surrogate(key, kind, entity, value, draws.get((kind, entity), 0))]
+                out += [text[last:start], surrogate(key, kind, entity, value, again.get((kind, entity), 0))]
                 last = end
             texts.append("".join([*out, text[last:]]) if got else text)
             counts.append(len(got))
@@ -288,35 +309,39 @@ def _replaced(batches, key: bytes, draws: dict, text_at: int):
         yield pa.record_batch([*columns, pa.array(counts, pa.int64()), pa.array(kinds, pa.list_(pa.string()))], names=[*batch.schema.names, "n_entities", "entity_kinds"])
 
 
-#: Entities that may draw again, at most: permuted formats meet only real entities, and hardly ever; names
-#: are drawn from over 10 ** 10 for each word.
+#: Entities that draw again, up to which they are broadcast; more are joined to the rows that mention them.
 MAX_DRAWS = 100_000
+#: Rounds without fewer clashes than ever before, after which there is no use in drawing again.
+STUCK = 8
 
 
-def draws(docs: DataFrame, key: bytes, text_col: str = "text", rounds: int = 4) -> dict[tuple[str, str], int]:
+def draws(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
     """How often entities must draw again for surrogates to be distinct and not themselves entities.
 
-    One aggregation over the distinct entities of the corpus for each round. Of entities with
-    one surrogate the smallest keeps it. Only the exceptions come to the driver, at most
-    MAX_DRAWS of them; more are an error. Formats are permuted, so that only a changed draw can
-    make two of them equal.
+    Rows of kind, entity and draw int, for the exceptions alone. Texts are read once; each
+    round is one aggregation over the distinct entities of the corpus, and rounds go on until
+    no surrogate clashes. Of entities with one surrogate the smallest keeps it. Formats are
+    permuted, so that only a changed draw can make two of them equal. Where drawing doesn't
+    help (a space that is full), there is an error.
     """
-    again: dict[tuple[str, str], int] = {}
     texts = docs.select(F.col(text_col).alias("text")).where("text is not null")
-    for _ in range(rounds):
-        sent = dict(again)
-        found = materialise(texts.mapInArrow(lambda it, sent=sent: _entities(it, key, sent), _FOUND).distinct())
-        taken = found.groupBy("kind", "made").agg(F.min("entity").alias("keeps"), F.count(F.lit(1)).alias("n"))
-        real = found.select("kind", F.col("entity").alias("made"), F.lit(True).alias("real"))
-        clash = found.join(taken.where("n > 1"), ["kind", "made"], "left").join(real, ["kind", "made"], "left")
-        clash = clash.where("(keeps is not null and entity <> keeps) or real").select("kind", "entity").distinct().limit(MAX_DRAWS + 1).collect()
-        if not clash:
-            break
-        if len(clash) > MAX_DRAWS:
-            raise ValueError(f"more than {MAX_DRAWS} surrogates collide")
-        for r in clash:
-            again[r["kind"], r["entity"]] = again.get((r["kind"], r["entity"]), 0) + 1
-    return again
+    state = materialise(texts.mapInArrow(_forms, _FORMS).distinct().withColumn("draw", F.lit(0)))
+    real = state.select("kind", F.col("entity").alias("made")).distinct().withColumn("real", F.lit(True))
+    fewest, stuck = None, 0
+    while True:
+        found = materialise(state.mapInArrow(lambda it: _made(it, key), f"{_FORMS}, draw int, made string"))
+        taken = found.groupBy("kind", "made").agg(F.min("entity").alias("keeps"), F.max("entity").alias("most")).where("keeps <> most")
+        clash = found.join(taken, ["kind", "made"], "left").join(real, ["kind", "made"], "left")
+        clash = materialise(clash.where("(keeps is not null and entity <> keeps) or real").select("kind", "entity").distinct().withColumn("more", F.lit(1)))
+        n = clash.count()
+        if not n:
+            return found.where("draw > 0").select("kind", "entity", "draw").distinct()
+        stuck = stuck + 1 if fewest is not None and n >= fewest else 0
+        if stuck == STUCK:
+            raise ValueError(f"{n} surrogates collide, however often they are drawn")
+        fewest = n if fewest is None else min(n, fewest)
+        state = found.drop("made").join(clash, ["kind", "entity"], "left").withColumn("draw", F.col("draw") + F.coalesce("more", F.lit(0)))
+        state = state.select("kind", "entity", "value", "context", "draw")
 
 
 def replace(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
@@ -325,11 +350,18 @@ def replace(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
     More columns: n_entities long, entity_kinds array<string> (in text order); input columns
     of those names are replaced. Null texts stay null and empty ones empty. An entity has one
     surrogate in all rows, so repeated rows stay alike. Texts of any length are taken whole.
-    docs is read twice, without a shuffle of texts.
+    docs is read twice, without a shuffle of texts unless over MAX_DRAWS entities draw again.
     """
     docs = docs.drop("n_entities", "entity_kinds")
     again = draws(docs, key, text_col)
-    sent = docs.sparkSession.sparkContext.broadcast(again)  # MAX_DRAWS entries at most
     at = docs.columns.index(text_col)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(lambda it: _replaced(it, key, sent.value, at), f"{schema}, n_entities long, entity_kinds array<string>")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", n_entities long, entity_kinds array<string>"
+    few = again.limit(MAX_DRAWS + 1).collect()
+    if len(few) <= MAX_DRAWS:
+        sent = docs.sparkSession.sparkContext.broadcast({(r["kind"], r["entity"]): r["draw"] for r in few})
+        return docs.mapInArrow(lambda it: _replaced(it, key, sent.value, at), schema)
+    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()))
+    texts = rows.select("_row", F.col(text_col).alias("text")).where("text is not null")
+    own = texts.mapInArrow(_mentioned, "_row long, kind string, entity string").join(again, ["kind", "entity"])
+    own = own.groupBy("_row").agg(F.collect_list(F.struct("kind", "entity", "draw")).alias("_draws"))
+    return rows.join(own, "_row", "left").select(*docs.columns, "_draws").mapInArrow(lambda it: _replaced(it, key, None, at), schema)

@@ -90,3 +90,27 @@ def test_documents_hold_none_of_their_entities(spark):
         if not got:
             assert new[r.doc_id].text == r.text
     assert old and not old & {(k, normal(k, r.text[s:e], c)) for r in new.values() for s, e, k, c in find(r.text)}
+
+
+def crowd(spark):
+    names = [f"Mr {a}{b}{c}" for a in ("Kim", "Lee", "Ono", "Sato", "Bel", "Cho", "Dan") for b in ("a", "e") for c in ("son", "ton", "ley", "man")]
+    return names, spark.createDataFrame([(i, f"{n} and Mr Kimason") for i, n in enumerate(names)] + [(None, None)], "doc_id long, text string")
+
+
+@pytest.mark.parametrize("most", [pii.MAX_DRAWS, 3])
+def test_draws_until_none_collides(spark, monkeypatch, most):
+    # 56 names and 64 surrogates: more than four rounds.
+    monkeypatch.setattr(pii, "SYLLABLES", {**pii.SYLLABLES, "latin": ("bd", "a")})
+    monkeypatch.setattr(pii, "MAX_DRAWS", most)
+    monkeypatch.setattr(pii, "STUCK", 60)
+    names, df = crowd(spark)
+    got = {r.doc_id: r for r in replace(df, KEY).collect()}
+    made = [got[i].text.split(" and ") for i in range(len(names))]
+    assert len({m for m, _ in made}) == len(names) and not {m for m, _ in made} & set(names)
+    assert {k for _, k in made} == {made[names.index("Mr Kimason")][0]} and got[None].text is None and got[0].n_entities == 2
+
+
+def test_full_space_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(pii, "SYLLABLES", {**pii.SYLLABLES, "latin": ("b", "a")})
+    with pytest.raises(ValueError, match="collide"):
+        replace(crowd(spark)[1], KEY)
