@@ -402,17 +402,18 @@ def _finer(batches, percent: int):
 
 
 def _similar(batches, k: int, percent: int):
-    """The pairs (a, b, text_a, text_b) whose sets are similar enough."""
+    """The pairs (a, b, text_a, text_b) whose sets are similar enough. A row may hold another text of the same id."""
     split = Splitter(fold=True)
     for batch in batches:
         marks = np.concatenate([batch.column(c).to_numpy() for c in (0, 1)])
         texts = pa.concat_arrays([batch.column(2), batch.column(3)])
-        one, at = np.unique(marks, return_index=True)
+        which = texts.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        one, at = np.unique(np.stack((marks, which.astype(np.int64))), axis=1, return_index=True)
         sets = []
         for words in split.chunks(texts.take(pa.array(at))):
             found = grams(words.hashes, k)
             sets += [distinct_shingles(words, i, found, k) for i in range(len(words))]
-        own = {m: s for m, s in zip(one.tolist(), sets, strict=True) if _signed([_fingerprint(s)])[0] == m}  # not another row's with the same id
+        own = {m: s for m, s in zip(one[0].tolist(), sets, strict=True) if _signed([_fingerprint(s)])[0] == m}  # not another row's with the same id
         links = []
         for a, b in zip(*(batch.column(c).to_pylist() for c in (0, 1)), strict=True):
             x, y = own.get(a), own.get(b)
@@ -469,7 +470,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, id_col: s
     reps = known.groupBy("set").agg(F.min("doc_id").alias("doc_id"))
     sets = materialise(known.join(reps, ["set", "doc_id"]).select("set", "doc_id", "n", "fine"))
     # A set whose rows all lack an id links with nothing; rows that repeat an id hang together by it.
-    same_id = known.groupBy("doc_id").agg(F.min("set").alias("a"), F.max("set").alias("b")).where("a <> b").select("a", "b")
+    several = known.groupBy("doc_id").agg(F.min("set").alias("a"), F.max("set").alias("most")).where("a <> most").select("doc_id", "a")
+    same_id = materialise(known.join(several, "doc_id").where("a <> set").select("a", F.col("set").alias("b")).distinct())
     pairs = _bounded(met.where("b is not null").select("a", "b"), sets, percent)
     waiting = met.where("b is null").select("h", "a")
     wanted = _ends(pairs).unionByName(waiting.select(F.col("a").alias("set"))).distinct()

@@ -110,3 +110,18 @@ def test_children_inside_others():
     got = jaccard._inside_another(np.cumsum(length) - length, length, np.concatenate(sets), np.array([True] * 5 + [False]))
     # [4, 5] reaches over the border of [1, 2, 3, 4]; [5] lies in it; of equal ones the first stays.
     assert got.tolist() == [False, True, True, False, True, False]
+
+
+def test_one_id_with_several_texts(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(1, 13):  # each id holds one to four texts, and other ids near copies of them
+        for j in range(i % 4 + 1):
+            words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+            rows += [(i, " ".join(words)), (100 * i + j, " ".join([*words, "end"])), (100 * i + 10 + j, " ".join(words))]
+    rows += [(1, None), (2, "")]
+    rng.shuffle(rows)
+    for parts in (1, 3):
+        got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
+        assert len(got) == len(rows)
+        assert all(r.component_id == (r.doc_id if r.doc_id < 100 else r.doc_id // 100) for r in got)
