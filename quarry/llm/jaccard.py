@@ -3,21 +3,25 @@
 A document's set holds the hashes of its distinct shingles. The hashes fall into
 GROUPS groups, and the counts of the groups make the document a point. Two points
 bound the overlap of their sets by the sum of the smaller coordinates, and so do two
-boxes by the sum of their upper corners' minima: a tree of boxes is joined with
-itself, and only pairs whose bound reaches the threshold are verified on the sets.
+boxes by the sum of their upper corners' minima: trees of boxes are joined with
+themselves, and only pairs whose bound reaches the threshold are verified on the sets.
 
 In so many dimensions boxes of unrelated documents overlap, so one tree over all
 points would compare nearly every pair. The root therefore has a child for each
 shingle, and a document enters the children of its prefix shingles only: two sets of
 similarity t must share one of the first n - ceil(t n) + 1 in any common order (cold
 shingles first here, so that common passages rarely route). No linked pair is lost.
+The children of a bucket are one forest, joined level by level for all of them at once.
 
 Only connectivity is asked for, so groups of near copies are never expanded into
-pairs. A child of over LEAF points gives star and neighbour pairs first; when those
-have been verified, only points of a child that lie in different components meet
-again, in trees, in blocks of bounded size.
-
-Pairs that pass the tree's bound meet a finer one of the same kind, over n to 2 n
+pairs. A child of over LARGE points gives star and neighbour pairs first, of the points
+that have it among the first of their prefix. When those
+have been verified, the points' components are known; children whose points all lie in
+one are closed, and in the others a few points of different components meet, and then, once
+more, all that are still in different ones, in trees again. Which children are large, and
+which are open, is told by bitmaps of bounded size.
+
+Pairs that pass the tree's bound meet a finer one of the same kind, over n / 2 to n
 groups, before their texts are compared.
 """
 
@@ -30,25 +34,39 @@ from pyspark.sql import functions as F
 
 from quarry.llm._common import U64, ceil_div, materialise, mix64, release
 from quarry.llm._components import components
-from quarry.llm._filter import likely
+from quarry.llm._filter import bitmap, holds, likely
 from quarry.llm._text import Splitter, distinct_shingles, grams
 
 GROUPS = 16
-LEAF = 64
+#: Points of a leaf of a tree, and nodes below a node.
+LEAF, FAN = 8, 4
+#: Points of a child up to which its tree is joined at once.
+LARGE = 16
 #: Points of one child that a task takes at most; a larger child is dealt in blocks.
 BLOCK = 20_000
-#: Entries for a task, by which the number of buckets is set.
-BUCKET_ENTRIES = 1_000_000
+#: Entries for a task, by which the number of buckets is set; of open children, whose points carry more.
+BUCKET_ENTRIES, OPEN_ENTRIES = 2_000_000, 100_000
+#: Entries that a task holds before it sends them on.
+FLUSH = 500_000
 #: Shingles whose order is put last, at most; any choice of them gives the same links.
 HOT = 262_144
 #: Shingles that a task counts at a time to find common ones.
 PROFILE_SHINGLES = 2_000_000
-_FULL = 255
-_DOC = np.dtype([("set", "<u8"), ("n", "<u4"), ("vec", "u1", GROUPS)])
-_ENTRY = np.dtype([("h", "<u8"), ("doc", "<u2")])
-#: Bits beside a point's number in an entry: it is in the index prefix; its child is dealt over several buckets.
-_INDEXED, _SALTED = 1 << 15, 1 << 14
-_NUMBER = _SALTED - 1
+#: Pairs of nodes that a join holds at a time.
+STEP = 1 << 14
+#: A group's count saturates here: two counts to a byte.
+_FULL = 15
+_DOC = np.dtype([("set", "<u8"), ("n", "<u4"), ("entries", "<u2"), ("vec", "u1", GROUPS // 2)])
+#: A child's name within its bucket is 32 bits of its shingle: two that share it are one child, which only adds
+#: candidates. place is that in the point's prefix, in 63rds, rounded down, with the bits below.
+_ENTRY = np.dtype([("h", "<u4"), ("place", "u1")])
+#: The entry's child is dealt over several buckets; it is one of the point's LEADS.
+_SALTED, _LEAD = 1 << 7, 1 << 6
+_PLACES = _LEAD - 1
+#: Entries of a point in one bucket, and so the size of a piece in which a longer one is sent.
+_MOST = (1 << 16) - 1
+#: Children of a point, the first of its prefix, in which it takes part in the pairs that large children give first.
+LEADS = 8
 
 
 def _fingerprint(s: np.ndarray) -> int:
@@ -60,39 +78,41 @@ def _signed(x) -> np.ndarray:
     return np.asarray(x, dtype=np.uint64).view(np.int64)
 
 
-def _fine(s: np.ndarray) -> bytes:
-    """Counts of a power of two of groups, one to two for each shingle; two counts to a byte."""
-    bits = min(max(4, len(s).bit_length()), 14)
-    c = np.minimum(np.bincount((s >> U64(64 - bits)).astype(np.int64), minlength=1 << bits), 15).astype(np.uint8)
-    return (c[::2] << 4 | c[1::2]).tobytes()
+def _counts(s: np.ndarray) -> np.ndarray:
+    c = np.minimum(np.bincount((s >> U64(60)).astype(np.int64), minlength=GROUPS), _FULL).astype(np.uint8)
+    return c[::2] << 4 | c[1::2]
+
+
+def _fine(s: np.ndarray, more: int = 0) -> bytes:
+    """Counts of a power of two of groups, one for each one or two shingles, or 2 ** more times as many; four counts to a byte."""
+    bits = min(max(4, len(s).bit_length() - 1 + more), 18)
+    c = np.minimum(np.bincount((s >> U64(64 - bits)).astype(np.int64), minlength=1 << bits), 3).astype(np.uint8).reshape(-1, 4)
+    return (c[:, 0] << 6 | c[:, 1] << 4 | c[:, 2] << 2 | c[:, 3]).tobytes()
 
 
 class _Fine:
-    """Fine counts of some sets, for bounds on pairs of them."""
+    """Fine counts of some sets of n members, for bounds on pairs of them.
 
-    def __init__(self, rows: list[bytes]):
-        self.size = np.array([2 * len(r) for r in rows], dtype=np.int64)
+    What saturated counts leave out of n, a set's excess, is added to the sum of minima: the smaller
+    excess where groups are the same, both where one set's groups are joined to fit the other's.
+    """
+
+    def __init__(self, rows: list[bytes], n: np.ndarray):
+        self.size = np.array([4 * len(r) for r in rows], dtype=np.int64)
+        self.excess = n.astype(np.int64)
         self.place = np.zeros(len(rows), dtype=np.int64)
         self.by_size = {}
         for g in np.unique(self.size).tolist():
             own = np.flatnonzero(self.size == g)
             self.place[own] = np.arange(len(own))
-            self.by_size[g] = np.frombuffer(b"".join([rows[i] for i in own]), np.uint8).reshape(len(own), g // 2)
+            self.by_size[g] = np.frombuffer(b"".join([rows[i] for i in own]), np.uint8).reshape(len(own), g // 4)
+            for some in np.array_split(own, max(1, len(own) * g >> 20)):
+                self.excess[some] -= self._rows(some, g, 1)[:, 0]
 
     def _rows(self, i: np.ndarray, g: int, to: int) -> np.ndarray:
         v = self.by_size[g][self.place[i]]
-        v = np.stack((v >> 4, v & 15), axis=2).reshape(len(i), g).astype(np.int32)
-        v[v == 15] = 1 << 24
-        return v.reshape(len(i), to, g // to).sum(axis=2) if g > to else v
-
-    def coarse(self) -> np.ndarray:
-        """The counts of GROUPS groups."""
-        out = np.zeros((len(self.size), GROUPS), dtype=np.int32)
-        for g in self.by_size:
-            own = np.flatnonzero(self.size == g)
-            for lo in range(0, len(own), 1024):
-                out[own[lo : lo + 1024]] = np.minimum(self._rows(own[lo : lo + 1024], g, GROUPS), 1 << 24)
-        return out
+        v = np.stack((v >> 6, v >> 4 & 3, v >> 2 & 3, v & 3), axis=2).reshape(len(i), g)
+        return v.reshape(len(i), to, g // to).sum(axis=2, dtype=np.int32) if g > to else v
 
     def bound(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         out = np.zeros(len(x), dtype=np.int64)
@@ -104,6 +124,8 @@ class _Fine:
             for lo in range(0, len(at), step):
                 some = at[lo : lo + step]
                 out[some] = _least(self._rows(x[some], ga, min(ga, gb)), self._rows(y[some], gb, min(ga, gb)))
+            both = np.stack((self.excess[x[at]], self.excess[y[at]]))
+            out[at] += both.min(axis=0) if ga == gb else both.sum(axis=0)
         return out
 
 
@@ -148,39 +170,84 @@ def _profile(batches, k: int):
     release()
 
 
-def _place(h: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """Positions in hot (sorted by value) of the hashes that are in it, else -1."""
-    if not len(hot):
-        return np.full(len(h), -1)
-    at = np.searchsorted(hot, h)
-    at[at == len(hot)] = 0
-    return np.where(hot[at] == h, at, -1)
+def _prefix_length(n, percent: int):
+    return n + (-percent * n) // 100 + 1
+
+
+def _places(n: int) -> np.ndarray:
+    """The places in a prefix, in 63rds."""
+    return (np.arange(n) * _PLACES // max(1, n - 1)).astype(np.uint8)
+
+
+def _rest(n: np.ndarray, place: np.ndarray, percent: int) -> np.ndarray:
+    """How many of a set's shingles can be shared at most, if none before that place of its prefix is."""
+    return n + (-place.astype(np.int64) * (_prefix_length(n, percent) - 1)) // _PLACES
+
 
+class _Prefixes:
+    """Which children a set enters: its prefix shingles, cold ones first."""
 
-def _entries(batches, k: int, percent: int, buckets: int, hot_h: np.ndarray, hot_n: np.ndarray):
-    """Blobs of points and of prefix entries, by bucket."""
+    def __init__(self, percent: int, buckets: int, hot_h: np.ndarray, hot_n: np.ndarray):
+        self.made_of = percent, buckets, hot_h, hot_n
+        by_value = np.argsort(hot_h)
+        self.percent, self.buckets, self.hot = percent, buckets, hot_h[by_value]
+        self.rank = np.argsort(np.argsort(hot_n[by_value], kind="stable"))
+        self.salts = np.maximum(1, -(-hot_n[by_value] // BLOCK))
+        self.seen = np.zeros(1 << 20, dtype=bool)
+        self.seen[(self.hot & U64((1 << 20) - 1)).astype(np.int64)] = True
+
+    def of(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+        """(prefix shingles, over how many buckets each child is dealt; None: one)."""
+        n = len(s)
+        probe = _prefix_length(n, self.percent)
+        maybe = np.flatnonzero(self.seen[(s & U64((1 << 20) - 1)).astype(np.int64)])
+        if not len(maybe):
+            return s[:probe], None
+        at = np.minimum(np.searchsorted(self.hot, s[maybe]), len(self.hot) - 1)
+        same = self.hot[at] == s[maybe]
+        if not same.any():
+            return s[:probe], None
+        maybe, at = maybe[same], at[same]
+        by = np.argsort(self.rank[at], kind="stable")
+        first = np.concatenate((np.delete(s, maybe), s[maybe[by]]))[:probe]
+        salts = np.concatenate((np.ones(n - len(maybe), np.int64), self.salts[at[by]]))[:probe]
+        return first, salts if salts.max() > 1 else None
+
+    def keys(self, first: np.ndarray) -> np.ndarray:
+        """Children's names: bucket, and name within it."""
+        return ((first >> U64(32)) % U64(self.buckets)) << U64(32) | first & U64(0xFFFFFFFF)
+
+    def dealt(self) -> np.ndarray:
+        """Names of the children that are dealt over several buckets, sorted."""
+        return np.sort(self.keys(self.hot[self.salts > 1]))
+
+    def __reduce__(self):
+        return _Prefixes, self.made_of
+
+
+def _entries(batches, k: int, prefixes: _Prefixes):
+    """Blobs of points and of prefix entries, by bucket. A set that repeats within a blob is sent once."""
     split = Splitter(fold=True)
-    by_value = np.argsort(hot_h)
-    hot, rank, count = hot_h[by_value], np.argsort(np.argsort(hot_n[by_value], kind="stable")), hot_n[by_value]
-    salts = np.maximum(1, -(-count // BLOCK))
-    seen = np.zeros(1 << 20, dtype=bool)
-    seen[(hot & U64((1 << 20) - 1)).astype(np.int64)] = True
-    docs, parts, held = [], [], 0
-
-    def flush():
+    docs, parts, marks, held = [], [], set(), 0
+
+    def out():
         points = np.array(docs, dtype=_DOC)
-        h, doc, bucket = (np.concatenate(x) for x in zip(*parts, strict=True))
+        h, place, bucket = (np.concatenate(x) for x in zip(*parts, strict=True))
+        doc = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
         order = np.lexsort((doc, bucket))
-        h, doc, bucket = h[order], doc[order], bucket[order]
+        h, doc, place, bucket = h[order], doc[order], place[order], bucket[order]
         cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
+        rows = []
         for a, b in zip(cut[:-1], cut[1:], strict=True):
-            own, back = np.unique(doc[a:b] & _NUMBER, return_inverse=True)
+            own, count = np.unique(doc[a:b], return_counts=True)
+            pieces = -(-count // _MOST)
+            some = points[np.repeat(own, pieces)]
+            last = np.cumsum(pieces) - 1
+            some["entries"] = _MOST
+            some["entries"][last] = count - (pieces - 1) * _MOST
             e = np.empty(b - a, dtype=_ENTRY)
-            e["h"], e["doc"] = h[a:b], back | (doc[a:b] & ~np.uint16(_NUMBER))
-            yield int(bucket[a]), points[own].tobytes(), e.tobytes()
-
-    def out():
-        rows = list(flush())
+            e["h"], e["place"] = h[a:b], place[a:b]
+            rows.append((int(bucket[a]), some.tobytes(), e.tobytes()))
         return pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "points", "entries"])
 
     for batch in batches:
@@ -188,37 +255,24 @@ def _entries(batches, k: int, percent: int, buckets: int, hot_h: np.ndarray, hot
             found = grams(words.hashes, k)
             for i in range(len(words)):
                 s = distinct_shingles(words, i, found, k)
-                n = len(s)
-                if not n:
+                mark = _fingerprint(s) if len(s) else 0
+                if not len(s) or mark in marks:
                     continue
-                vec = np.minimum(np.bincount((s >> U64(60)).astype(np.int64), minlength=GROUPS), _FULL)
-                probe = n - ceil_div(percent * n, 100) + 1
-                index = n - ceil_div(2 * percent * n, 100 + percent) + 1
-                maybe = seen[(s & U64((1 << 20) - 1)).astype(np.int64)]
-                order, shift = s, None
-                if maybe.any():
-                    at = np.full(n, -1)
-                    at[maybe] = _place(s[maybe], hot)
-                    last = np.flatnonzero(at >= 0)
-                    last = last[np.argsort(rank[at[last]], kind="stable")]
-                    by = np.concatenate([np.flatnonzero(at < 0), last])[:probe]
-                    order = s[by]
-                    shift = np.where(at[by] >= 0, at[by], -1)
-                first = order[:probe]
-                mark = _fingerprint(s)
-                bucket = ((first >> U64(8)) % U64(buckets)).astype(np.int64)
-                who = np.full(len(first), len(docs), dtype=np.uint16)
-                who[:index] |= _INDEXED
-                if shift is not None:
-                    over = np.where(shift >= 0, salts[shift], 1)
-                    bucket = (bucket + (mark >> 1) % over) % buckets
-                    who[over > 1] |= _SALTED
-                docs.append((mark, n, vec))
-                parts.append((first, who, bucket))
+                first, salts = prefixes.of(s)
+                key = prefixes.keys(first)
+                bucket = (key >> U64(32)).astype(np.int64)
+                place = _places(len(first))
+                place[:LEADS] |= _LEAD
+                if salts is not None:
+                    bucket = (bucket + (mark >> 1) % salts) % prefixes.buckets
+                    place[salts > 1] |= _SALTED
+                marks.add(mark)
+                docs.append((mark, len(s), 0, _counts(s)))
+                parts.append((key & U64(0xFFFFFFFF), place, bucket))
                 held += len(first)
-                if len(docs) == _NUMBER or held >= 500_000:
+                if held >= FLUSH:
                     yield out()
-                    docs, parts, held = [], [], 0
+                    docs, parts, marks, held = [], [], set(), 0
     if docs:
         yield out()
     release()
@@ -229,8 +283,8 @@ def _least(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _wide(vec: np.ndarray) -> np.ndarray:
-    """Counts as int32; a saturated one bounds nothing."""
-    vec = vec.astype(np.int32)
+    """The counts of packed vectors; a saturated one bounds nothing."""
+    vec = np.stack((vec >> 4, vec & 15), axis=2).reshape(len(vec), GROUPS).astype(np.int32)
     vec[vec == _FULL] = 1 << 24
     return vec
 
@@ -242,99 +296,106 @@ def _passes(na, nb, vec_a, vec_b, percent: int) -> np.ndarray:
     return (100 * lo >= percent * hi) & ((100 + percent) * bound >= percent * (na + nb))
 
 
-class Tree:
-    """An R-tree over points (n, counts), packed by sort-tile-recursion; leaves hold LEAF points."""
-
-    def __init__(self, n: np.ndarray, vec: np.ndarray):
-        order = np.lexsort((*vec.T[:4], n))
-        for axis in range(4):  # tiles by size, then by counts within a tile
-            width = max(LEAF, ceil_div(len(order), 4 ** (axis + 1)))
-            order = np.concatenate([t[np.argsort(vec[t, axis], kind="stable")] for t in np.split(order, range(width, len(order), width))])
-        self.order = order
-        cut = np.arange(0, len(order), LEAF)
-        n, vec = n[order], vec[order]
-        level = (np.minimum.reduceat(n, cut), np.maximum.reduceat(n, cut), np.maximum.reduceat(vec, cut, axis=0))
-        self.levels = [level]
-        while len(level[0]) > 1:
-            cut = np.arange(0, len(level[0]), 8)
-            level = (np.minimum.reduceat(level[0], cut), np.maximum.reduceat(level[1], cut), np.maximum.reduceat(level[2], cut, axis=0))
-            self.levels.append(level)
-
-    def leaf_pairs(self, percent: int):
-        """Pairs of leaves whose boxes leave room for a link."""
-        stack = [(len(self.levels) - 1, 0, 0)]
+class Forest:
+    """Packed R-trees over the points (n, counts) of many children at once, joined level by level.
+
+    Leaves hold LEAF points, nodes FAN nodes. A node bounds its points' sizes from both sides,
+    their counts from above, and their components, where these are given, from both sides.
+    """
+
+    def __init__(self, child: np.ndarray, n: np.ndarray, vec: np.ndarray, comp: np.ndarray | None = None):
+        self.order = order = np.lexsort((*vec.T[3::-1], n, child))
+        self.tested = self.parted = 0
+        child = child[order]
+        first = np.flatnonzero(np.concatenate(([True], child[1:] != child[:-1]))) if len(child) else np.zeros(0, np.int64)
+        count, size = np.diff(np.append(first, len(child))), LEAF
+        comp = np.zeros(len(n), np.int64) if comp is None else comp
+        self.bounded = bool(len(comp)) and comp.min() != comp.max()
+        lo, hi, top, least, most = n[order], n[order], vec[order], comp[order], comp[order]
+        self.levels, self.roots = [], []
+        while len(first):
+            nodes = -(-count // size)
+            base = np.cumsum(nodes) - nodes
+            begin = np.repeat(first - base * size, nodes) + np.arange(int(nodes.sum())) * size
+            end = np.minimum(begin + size, np.repeat(first + count, nodes))
+            # Items between two trees' runs belong to trees that are done: cut them off.
+            cuts = np.stack((begin, end), axis=1).ravel()
+            fold = lambda f, x: f.reduceat(np.concatenate((x, x[-1:])), cuts, axis=0)[::2]  # noqa: B023, E731
+            lo, hi, top = fold(np.minimum, lo), fold(np.maximum, hi), fold(np.maximum, top)
+            least, most = fold(np.minimum, least), fold(np.maximum, most)
+            self.levels.append((begin, end, lo, hi, top, least, most))
+            self.roots.append(base[nodes == 1])
+            go = nodes > 1
+            first, count, size = base[go], nodes[go], FAN
+
+    def _near(self, d: int, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+        """Whether two nodes' boxes leave room for a link of two components."""
+        _, _, lo, hi, top, least, most = self.levels[d]
+        small, large = np.minimum(hi[i], hi[j]), np.maximum(lo[i], lo[j])
+        ok = 100 * small >= percent * large
+        if self.bounded:
+            ok &= (least[i] != most[i]) | (least[j] != most[j]) | (least[i] != least[j])
+        apart = np.flatnonzero(ok & (i != j))
+        some, other = i[apart], j[apart]
+        room = np.minimum(_least(top[some], top[other]), small[apart])
+        ok[apart] = (100 + percent) * room >= percent * (lo[some] + lo[other])
+        self.tested += len(i)
+        self.parted += len(i) - int(ok.sum())
+        return ok
+
+    def pairs(self, percent: int):
+        """Arrays (x, y) of points of one child that no two boxes part."""
+        stack = [(d, roots, roots) for d, roots in enumerate(self.roots) if len(roots)]
         while stack:
             d, i, j = stack.pop()
-            lo, hi, top = self.levels[d]
-            least, most = min(hi[i], hi[j]), max(lo[i], lo[j])
-            need = percent * (lo[i] + lo[j])
-            if 100 * least < percent * most or (100 + percent) * min(least, int(_least(top[i], top[j]))) < need:
+            if len(i) > STEP:
+                stack += [(d, i[STEP:], j[STEP:])]
+                i, j = i[:STEP], j[:STEP]
+            ok = self._near(d, i, j, percent)
+            i, j = i[ok], j[ok]
+            begin, end = self.levels[d][:2]
+            wide, deep = end[i] - begin[i], end[j] - begin[j]
+            cells = wide * deep
+            own = np.repeat(np.arange(len(i)), cells)
+            at = np.arange(int(cells.sum())) - np.repeat(np.cumsum(cells) - cells, cells)
+            x, y = begin[i][own] + at // deep[own], begin[j][own] + at % deep[own]
+            keep = (i != j)[own] | (x < y if d == 0 else x <= y)
+            x, y = x[keep], y[keep]
+            if not len(x):
                 continue
             if d == 0:
-                yield i, j
-                continue
-            below = len(self.levels[d - 1][0])
-            left, right = (range(8 * x, min(8 * x + 8, below)) for x in (i, j))
-            stack += [(d - 1, x, y) for x in left for y in right if x <= y]
+                yield self.order[x], self.order[y]
+            else:
+                stack.append((d - 1, x, y))
 
-    def leaf(self, i: int) -> np.ndarray:
-        return self.order[i * LEAF : (i + 1) * LEAF]
 
-
-_MET = "a long, b long, h long"
-_MET_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("h", pa.int64())])
-
-
-def _inside_another(start: np.ndarray, length: np.ndarray, uid: np.ndarray, large: np.ndarray) -> np.ndarray:
-    """Children whose points all have one other child as their largest: whichever two points meet there meet here too.
-
-    Only children that lie in this bucket as a whole (large) count."""
-    out = np.zeros(len(start), dtype=bool)
-    which = np.flatnonzero(large)
-    if not len(which):
-        return out
-    child = np.repeat(which, length[which])
-    begin = np.cumsum(length[which]) - length[which]
-    row = np.repeat(start[which] - begin, length[which]) + np.arange(len(child))
-    point = uid[row]
-    order = np.lexsort((child, -length[child], point))
-    first = np.concatenate(([True], point[order][1:] != point[order][:-1]))
-    top = np.empty(len(child), dtype=np.int64)
-    top[order] = child[order][np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
-    lo, hi = np.minimum.reduceat(top, begin), np.maximum.reduceat(top, begin)
-    out[which] = (lo == hi) & (lo != which)
-    return out
+_MET = "a long, b long, key long, m long"
+_MET_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("m", pa.int64())])
 
 
 def _meet(blobs: pa.Table, percent: int) -> pa.Table:
-    """Candidate pairs (a, b) of a bucket's children; the points of large children as (a, null, h)."""
-    points, h, doc = [], [], []
-    base = 0
-    for p, e in zip(blobs.column("points").to_pylist(), blobs.column("entries").to_pylist(), strict=True):
-        p, e = np.frombuffer(p, _DOC), np.frombuffer(e, _ENTRY)
-        points.append(p)
-        h.append(e["h"])
-        bits = e["doc"].astype(np.int64)
-        doc.append((bits & _NUMBER) + base + ((bits & ~_NUMBER) << 32))
-        base += len(p)
-    points, h, doc = np.concatenate(points), np.concatenate(h), np.concatenate(doc)
-    order = np.argsort(h)
-    h = h[order]
+    """Candidate pairs (a, b) of a bucket's children; its large children as (null, null, key, points)."""
+    bucket = blobs.column("bucket")[0].as_py()
+    points = np.concatenate([np.frombuffer(p, _DOC) for p in blobs.column("points").to_pylist()])
+    e = np.concatenate([np.frombuffer(e, _ENTRY) for e in blobs.column("entries").to_pylist()])
+    order = np.argsort(e["h"])
+    h = e["h"][order]
     twin = h[1:] == h[:-1]
-    keep = np.concatenate(([False], twin)) | np.concatenate((twin, [False])) | ((doc[order] >> 46) & 1 > 0)
-    h, doc = h[keep], doc[order][keep]
-    flag, salted, doc = (doc >> 47) > 0, (doc >> 46) & 1, doc & ((1 << 46) - 1)
+    keep = np.concatenate(([False], twin)) | np.concatenate((twin, [False])) | (e["place"][order] >= _SALTED)
+    order, h = order[keep], h[keep]
+    doc = np.repeat(np.arange(len(points), dtype=np.int32), points["entries"])[order]
+    place = e["place"][order]
+    salted, lead, place = place >> 7, (place & _LEAD) > 0, place & _PLACES
     _, one, uid = np.unique(points["set"], return_index=True, return_inverse=True)
     points, uid = points[one], uid[doc]
-    order = np.lexsort((uid, h))
-    h, uid, flag, salted = h[order], uid[order], flag[order], salted[order]
+    order = np.lexsort((place, uid, h))
+    h, uid, place, salted, lead = h[order], uid[order], place[order], salted[order], lead[order]
     new = np.concatenate(([True], (h[1:] != h[:-1]) | (uid[1:] != uid[:-1]))) if len(h) else np.zeros(0, bool)
-    h, uid, flag, salted = h[new], uid[new], flag[new], salted[new]
+    h, uid, place, salted, lead = h[new], uid[new], place[new], salted[new], lead[new]
     start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, int)
     length = np.diff(np.append(start, len(h)))
     n, vec, mark = points["n"].astype(np.int64), _wide(points["vec"]), _signed(points["set"])
     spread = np.maximum.reduceat(salted, start) > 0 if len(h) else np.zeros(0, bool)
-    size = np.repeat(np.where(spread, np.maximum(length, LEAF + 1), length), length)
     pairs = [np.zeros(0, np.int64)]
     u = len(points)
 
@@ -343,103 +404,298 @@ def _meet(blobs: pa.Table, percent: int) -> pa.Table:
         x, y = x[ok], y[ok]
         pairs.append(np.unique(np.minimum(x, y) * u + np.maximum(x, y)))
 
-    small = np.flatnonzero((size > 1) & (size <= LEAF))
-    hs, us, fs = h[small], uid[small], flag[small]
-    for d in range(1, LEAF):
-        i = np.flatnonzero(hs[d:] == hs[:-d])
-        if not len(i):
-            break
-        x, y = us[i], us[i + d]
-        first = np.where(n[x] <= n[y], fs[i], fs[i + d]) | ((n[x] == n[y]) & fs[i + d])
-        note(x[first], y[first])
-    large = np.flatnonzero((length > LEAF) | spread)
+    size = n[uid]
+    rest = _rest(size, place, percent)
+    small = np.flatnonzero((length > 1) & (length <= LARGE) & ~spread)
+    # Trees of some 100 000 points at a time.
+    for part in np.split(small, np.flatnonzero(np.diff(np.cumsum(length[small]) // 100_000)) + 1) if len(small) else ():
+        own = np.repeat(start[part], length[part]) + np.arange(int(length[part].sum())) - np.repeat(np.cumsum(length[part]) - length[part], length[part])
+        who = uid[own]
+        for i, j in Forest(np.repeat(part, length[part]), n[who], vec[who]).pairs(percent):
+            x, y = own[i], own[j]
+            # What stands before the first shingle that two sets share isn't shared.
+            ok = (100 + percent) * np.minimum(rest[x], rest[y]) >= percent * (n[uid[x]] + n[uid[y]])
+            note(uid[x[ok]], uid[y[ok]])
+    large = np.flatnonzero((length > LARGE) | spread & (length > 1))
     for a, m in zip(start[large], length[large], strict=True):
-        members = uid[a : a + m]
+        members = uid[a : a + m][lead[a : a + m]]
+        if len(members) < 2:
+            continue
         line = members[np.argsort(n[members], kind="stable")]
-        pivot = np.full(m, line[m // 2])
+        pivot = np.full(len(line), line[len(line) // 2])
         note(line[line != pivot], pivot[line != pivot])
         note(line[1:], line[:-1])
     pairs = np.unique(np.concatenate(pairs))
-    met = pa.table({"a": mark[pairs // max(u, 1)], "b": mark[pairs % max(u, 1)], "h": pa.nulls(len(pairs), pa.int64())}, schema=_MET_ARROW)
-    inside = _inside_another(start, length, uid, (length > LEAF) & ~spread)
-    wait = np.flatnonzero((size > LEAF) & ~np.repeat(inside, length))
-    who = uid[wait]
-    later = pa.table({"a": mark[who], "b": pa.nulls(len(wait), pa.int64()), "h": h[wait].view(np.int64)}, schema=_MET_ARROW)
-    return pa.concat_tables([met, later])
-
-
-def _across(child: pa.Table, percent: int) -> pa.Table:
-    """Pairs of points of a child that lie in different components and pass the bounds, by a join of its tree.
-
-    Two points that share another, larger child as their top meet there."""
-    mark, comp, n, top, h = (child.column(c).to_numpy().astype(np.int64) for c in ("a", "comp", "n", "top", "h"))
-    fine = _Fine(child.column("fine").to_pylist())
-    vec = fine.coarse()
-    tree = Tree(n, vec)
-    found = []
-    for i, j in tree.leaf_pairs(percent):
-        x, y = np.meshgrid(tree.leaf(i), tree.leaf(j), indexing="ij")
-        x, y = x.ravel(), y.ravel()
-        apart = (comp[x] != comp[y]) & ((top[x] != top[y]) | (top[x] == h[0]))
-        if i == j:
-            apart &= x < y
-        x, y = x[apart], y[apart]
+    wait = np.flatnonzero((length > LARGE) & ~spread)
+    none = lambda k: pa.nulls(k, pa.int64())
+    met = [mark[pairs // max(u, 1)], mark[pairs % max(u, 1)], none(len(pairs)), none(len(pairs))]
+    open_ = [none(len(wait)), none(len(wait)), bucket << 32 | h[start[wait]].astype(np.int64), length[wait]]
+    return pa.concat_tables([pa.table(met, schema=_MET_ARROW), pa.table(open_, schema=_MET_ARROW)])
+
+
+_KEYED = np.dtype([("key", "<u8"), ("place", "u1")])
+_ROUTED = "set long, n long, vec binary, fine binary, keys binary"
+
+
+def _routed(batches, k: int, prefixes: _Prefixes, bits: bytes):
+    """(set, n, vec, fine, keys) of the sets that enter children of the bitmap; keys in the order of the prefix."""
+    split = Splitter(fold=True)
+    for batch in batches:
+        marks, rows = set(), []
+        for words in split.chunks(batch.column(0)):
+            found = grams(words.hashes, k)
+            for i in range(len(words)):
+                s = distinct_shingles(words, i, found, k)
+                if not len(s):
+                    continue
+                key = prefixes.keys(prefixes.of(s)[0])
+                at = np.flatnonzero(holds(bits, key))
+                if not len(at):
+                    continue
+                mark = int(_signed([_fingerprint(s)])[0])
+                if mark not in marks:
+                    marks.add(mark)
+                    own = np.empty(len(at), dtype=_KEYED)
+                    own["key"], own["place"] = key[at], _places(len(key))[at]
+                    rows.append((mark, len(s), _counts(s).tobytes(), _fine(s, 1), own.tobytes()))
+        columns = list(zip(*rows, strict=True)) or [[]] * 5
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 2 + [pa.binary()] * 3, strict=True)], names=["set", "n", "vec", "fine", "keys"])
+    release()
+
+
+_SPAN = np.dtype([("key", "<u8"), ("lo", "<i8"), ("hi", "<i8"), ("m", "<i8")])
+
+
+def _folded(key: np.ndarray, lo: np.ndarray, hi: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """One span for each key."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, int)
+    out = np.zeros(len(at), dtype=_SPAN)
+    if len(at):
+        out["key"], out["lo"], out["hi"], out["m"] = key[at], np.minimum.reduceat(lo[order], at), np.maximum.reduceat(hi[order], at), np.add.reduceat(m[order], at)
+    return out
+
+
+def _spans(batches, buckets: int):
+    """Blobs of children's spans (least and greatest component, points), by bucket, from (keys, comp)."""
+    key, comp, held = [], [], 0
+
+    def out():
+        keys = np.concatenate(key)
+        c = np.repeat(np.array(comp, dtype=np.int64), [len(x) for x in key])
+        found = _folded(keys, c, c, np.ones(len(keys), np.int64))
+        bucket = (mix64(found["key"]) % U64(buckets)).astype(np.int64)
+        found = found[np.argsort(bucket, kind="stable")]
+        own, first = np.unique(np.sort(bucket), return_index=True)
+        return pa.record_batch([pa.array(own, pa.int32()), pa.array([x.tobytes() for x in np.split(found, first[1:])], pa.binary())], names=["bucket", "spans"])
+
+    for batch in batches:
+        for x, c in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
+            key.append(np.frombuffer(x, _KEYED)["key"])
+            comp.append(c)
+            held += len(key[-1])
+            if held >= FLUSH:
+                yield out()
+                key, comp, held = [], [], 0
+    if key:
+        yield out()
+
+
+def _opened(blobs: pa.Table, always: np.ndarray) -> pa.Table:
+    """Large children, and those of always (sorted), whose points lie in several components: (key, points)."""
+    x = np.concatenate([np.frombuffer(s, _SPAN) for s in blobs.column("spans").to_pylist()])
+    x = _folded(x["key"], x["lo"], x["hi"], x["m"])
+    x = x[(x["lo"] != x["hi"]) & ((x["m"] > LARGE) | np.isin(x["key"], always))]
+    return pa.table({"key": x["key"].view(np.int64), "m": x["m"]})
+
+
+_POINT = np.dtype([("set", "<i8"), ("doc", "<i8"), ("comp", "<i8"), ("top", "<u8"), ("n", "<i8"), ("vec", "u1", GROUPS // 2)])
+_SIDED = np.dtype([("child", "<u8"), ("key", "<u8"), ("point", "<u4"), ("side", "u1"), ("place", "u1")])
+
+
+def _points(batches, buckets: int, bits: bytes, split_keys: np.ndarray, split_into: np.ndarray):
+    """Blobs of points and entries of open children, by bucket, from (set, doc_id, comp, n, vec, fine, keys).
+
+    A point's top is the first open child of its prefix. A child of split_keys is dealt in pairs of blocks; side tells
+    in which of the two a point is (2: both)."""
+    points, fine, parts, held = [], [], [], 0
+
+    def out():
+        own = np.concatenate(parts)
+        own["point"] = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+        bucket = (mix64(own["child"]) % U64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        own, bucket = own[order], bucket[order]
+        all_points = np.array(points, dtype=_POINT)
+        rows = []
+        cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            some, back = np.unique(own["point"][a:b], return_inverse=True)
+            piece = own[a:b].copy()
+            piece["point"] = back
+            rows.append((int(bucket[a]), all_points[some].tobytes(), [fine[i] for i in some], piece.tobytes()))
+        types = (pa.int32(), pa.binary(), pa.list_(pa.binary()), pa.binary())
+        return pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["bucket", "points", "fine", "entries"])
+
+    for batch in batches:
+        for mark, doc, comp, n, vec, f, keys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            own_keys = np.frombuffer(keys, _KEYED)
+            own_keys = own_keys[holds(bits, own_keys["key"])]
+            key = own_keys["key"]
+            if not len(key):
+                continue
+            e = np.zeros(len(key), dtype=_SIDED)
+            e["child"], e["key"], e["side"], e["place"] = key, key, 2, own_keys["place"]
+            many = np.isin(key, split_keys)
+            if many.any():
+                dealt = [e[~many]]
+                for x, place in zip(key[many], own_keys["place"][many], strict=True):
+                    into = int(split_into[np.searchsorted(split_keys, x)])
+                    own, other = mark % into, np.arange(into)
+                    piece = np.zeros(into, dtype=_SIDED)
+                    with np.errstate(over="ignore"):
+                        block = np.minimum(own, other).astype(np.uint64) * U64(into) + np.maximum(own, other).astype(np.uint64) + U64(1)
+                        piece["child"] = mix64(x ^ mix64(block))
+                    piece["key"], piece["place"], piece["side"] = x, place, np.where(other == own, 2, np.where(own < other, 0, 1))
+                    dealt.append(piece)
+                e = np.concatenate(dealt)
+            points.append((mark, doc, comp, key[0], n, np.frombuffer(vec, np.uint8)))
+            fine.append(f)
+            parts.append(e)
+            held += len(e)
+            if held >= FLUSH:
+                yield out()
+                points, fine, parts, held = [], [], [], 0
+    if points:
+        yield out()
+
+
+_PAIR = "a long, b long, doc_a long, doc_b long"
+
+
+def _sparse(e: np.ndarray, n: np.ndarray, vec: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries next to each other in the order of their child's points, and one of each component with a middle one."""
+    who = e["point"]
+    order = np.lexsort((*vec[who].T[3::-1], n[who], e["child"]))
+    child, c = e["child"][order], comp[who][order]
+    next_ = np.flatnonzero(child[1:] == child[:-1])
+    start = np.flatnonzero(np.concatenate(([True], child[1:] != child[:-1])))
+    size = np.diff(np.append(start, len(child)))
+    middle = np.repeat(start + size // 2, size)
+    by = np.lexsort((c, child))
+    first = by[np.concatenate(([True], (child[by][1:] != child[by][:-1]) | (c[by][1:] != c[by][:-1])))]
+    return order[np.concatenate((next_, first))], order[np.concatenate((next_ + 1, middle[first]))]
+
+
+def _across(blobs: pa.Table, percent: int, sparse: bool) -> pa.Table:
+    """Pairs of points of open children that lie in different components and pass the bounds, by a join of their trees.
+
+    Two points that share another child as their top meet there. A pair whose first shared shingle has a child that isn't
+    open is linked already or not similar, so that what stands before this child in a prefix counts as not shared. sparse: only a few pairs of each child, to join
+    components before all others meet."""
+    points, entries, base = [], [], 0
+    for p, e in zip(blobs.column("points").to_pylist(), blobs.column("entries").to_pylist(), strict=True):
+        points.append(np.frombuffer(p, _POINT))
+        entries.append(np.frombuffer(e, _SIDED).copy())
+        entries[-1]["point"] += base
+        base += len(points[-1])
+    p, e = np.concatenate(points), np.concatenate(entries)
+    fine = _Fine([f for row in blobs.column("fine").to_pylist() for f in row], p["n"])
+    n, vec, comp, top = p["n"], _wide(p["vec"]), p["comp"], p["top"]
+    who, key, side = e["point"].astype(np.int64), e["key"], e["side"]
+    found = [np.zeros((0, 2), np.int64)]
+    rest = _rest(n[who], e["place"], percent)
+    for i, j in [_sparse(e, n, vec, comp)] if sparse else Forest(e["child"], n[who], vec[who], comp[who]).pairs(percent):
+        x, y = who[i], who[j]
+        ok = comp[x] != comp[y]
+        if not sparse:
+            ok &= ((top[x] != top[y]) | (top[x] == key[i])) & ((side[i] == 2) | (side[i] != side[j]))
+            ok &= (100 + percent) * np.minimum(rest[i], rest[j]) >= percent * (n[x] + n[y])
+        x, y = x[ok], y[ok]
         ok = _passes(n[x], n[y], vec[x], vec[y], percent)
         x, y = x[ok], y[ok]
         ok = (100 + percent) * fine.bound(x, y) >= percent * (n[x] + n[y])
-        found.append((np.minimum(mark[x[ok]], mark[y[ok]]), np.maximum(mark[x[ok]], mark[y[ok]])))
-    a, b = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
-    return pa.table({"a": a, "b": b})
+        x, y = x[ok], y[ok]
+        swap = p["set"][x] > p["set"][y]
+        found.append(np.unique(np.stack((np.where(swap, y, x), np.where(swap, x, y)), axis=1), axis=0))
+    x, y = np.unique(np.concatenate(found), axis=0).T
+    return pa.table({"a": p["set"][x], "b": p["set"][y], "doc_a": p["doc"][x], "doc_b": p["doc"][y]})
 
 
 def _finer(batches, percent: int):
-    """The pairs (a, b, n_a, n_b, fine_a, fine_b) that the finer bound leaves."""
+    """The pairs (a, b, doc_a, doc_b) that the finer bound leaves, from those and (n_a, n_b, fine_a, fine_b)."""
     for batch in batches:
-        n_a, n_b = (batch.column(c).to_numpy() for c in (2, 3))
+        n_a, n_b = (batch.column(c).to_numpy() for c in (4, 5))
         m = batch.num_rows
-        bound = _Fine(batch.column(4).to_pylist() + batch.column(5).to_pylist()).bound(np.arange(m), np.arange(m, 2 * m))
-        yield batch.select([0, 1]).filter(pa.array((100 + percent) * bound >= percent * (n_a + n_b)))
+        bound = _Fine(batch.column(6).to_pylist() + batch.column(7).to_pylist(), np.concatenate((n_a, n_b))).bound(np.arange(m), np.arange(m, 2 * m))
+        yield batch.select([0, 1, 2, 3]).filter(pa.array((100 + percent) * bound >= percent * (n_a + n_b)))
 
 
 def _similar(batches, k: int, percent: int):
-    """The pairs (a, b, text_a, text_b) whose sets are similar enough. A row may hold another text of the same id."""
+    """(doc_a, doc_b) of the rows (a, b, doc_a, doc_b, text_a, text_b) whose sets are similar enough. A row may hold another text of the same id."""
     split = Splitter(fold=True)
     for batch in batches:
         marks = np.concatenate([batch.column(c).to_numpy() for c in (0, 1)])
-        texts = pa.concat_arrays([batch.column(2), batch.column(3)])
+        texts = pa.concat_arrays([batch.column(4), batch.column(5)])
         which = texts.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
         one, at = np.unique(np.stack((marks, which.astype(np.int64))), axis=1, return_index=True)
         sets = []
         for words in split.chunks(texts.take(pa.array(at))):
             found = grams(words.hashes, k)
             sets += [distinct_shingles(words, i, found, k) for i in range(len(words))]
-        own = {m: s for m, s in zip(one[0].tolist(), sets, strict=True) if _signed([_fingerprint(s)])[0] == m}  # not another row's with the same id
+        own = {(m, w): s for m, w, s in zip(*one.tolist(), sets, strict=True) if _signed([_fingerprint(s)])[0] == m}  # not another text of the id
         links = []
-        for a, b in zip(*(batch.column(c).to_pylist() for c in (0, 1)), strict=True):
-            x, y = own.get(a), own.get(b)
+        half = batch.num_rows
+        for i in range(half):
+            x, y = (own.get((int(marks[j]), int(which[j]))) for j in (i, half + i))
             both = len(np.intersect1d(x, y, assume_unique=True)) if x is not None and y is not None else -1
             links.append(both >= 0 and 100 * both >= percent * (len(x) + len(y) - both))
-        yield batch.select([0, 1]).filter(pa.array(links, pa.bool_()))
-
-
-_PAIR = "a long, b long"
+        yield pa.record_batch(batch.select([2, 3]).filter(pa.array(links, pa.bool_())).columns, names=["a", "b"])
 
 
 def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The distinct pairs that the finer bound leaves."""
-    side = lambda c: sets.select(F.col("set").alias(c), F.col("n").alias(f"n_{c}"), F.col("fine").alias(f"fine_{c}"))
+    """The distinct pairs that the finer bound leaves, with their documents."""
+    side = lambda c: sets.select(F.col("set").alias(c), F.col("doc_id").alias(f"doc_{c}"), F.col("n").alias(f"n_{c}"), F.col("fine").alias(f"fine_{c}"))
     both = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
-    return materialise(both.select("a", "b", "n_a", "n_b", "fine_a", "fine_b").mapInArrow(lambda it: _finer(it, percent), _PAIR))
-
-
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("set"))
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    side = lambda c: texts.select(F.col("set").alias(c), F.col("text").alias(f"text_{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
-    return materialise(both.mapInArrow(lambda it: _similar(it, k, percent), _PAIR))
+    return materialise(both.select("a", "b", "doc_a", "doc_b", "n_a", "n_b", "fine_a", "fine_b").mapInArrow(lambda it: _finer(it, percent), _PAIR))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, repeated: bool, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between the documents of the pairs whose sets are similar."""
+    ids = pairs.select(F.explode(F.array("doc_a", "doc_b")).alias("doc_id")).distinct()
+    texts = likely(docs, ids)
+    if repeated:
+        texts = texts.dropDuplicates(["doc_id", "text"])
+    side = lambda c: texts.select(F.col("doc_id").alias(f"doc_{c}"), F.col("text").alias(f"text_{c}"))
+    both = pairs.join(side("a"), "doc_a").join(side("b"), "doc_b").select("a", "b", "doc_a", "doc_b", "text_a", "text_b")
+    return materialise(both.mapInArrow(lambda it: _similar(it, k, percent), "a long, b long").distinct())
+
+
+def _route(docs: DataFrame, sets: DataFrame, large: DataFrame, prefixes: _Prefixes, k: int) -> DataFrame:
+    """(set, doc_id, n, vec, fine, keys) of the sets that enter large children."""
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(large, F.col("key"), prefixes.dealt()))
+    routed = docs.select("text").mapInArrow(lambda it: _routed(it, k, prefixes, bits.value), _ROUTED).dropDuplicates(["set"])
+    return materialise(routed.join(sets.select("set", "doc_id"), "set").select("set", "doc_id", "n", "vec", "fine", "keys"))
+
+
+def _open_pairs(routed: DataFrame, entries: int, roots: DataFrame, always: np.ndarray, percent: int, sparse: bool) -> DataFrame:
+    """Pairs that meet in large children whose points lie in several components."""
+    routed = routed.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("set", "doc_id", F.coalesce("root", "doc_id").alias("comp"), "n", "vec", "fine", "keys")
+    buckets = max(1, ceil_div(entries, BUCKET_ENTRIES))
+    spans = routed.select("keys", "comp").mapInArrow(lambda it: _spans(it, buckets), "bucket int, spans binary")
+    open_ = materialise(spans.groupBy("bucket").applyInArrow(lambda t: _opened(t, always), "key long, m long"))
+    held = open_.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    # A child beyond this is dealt in blocks: of a million such, at most, names come to the driver.
+    most = max(BLOCK, entries // 1_000_000)
+    many = open_.where(F.col("m") > most).collect()
+    keys = np.array([r["key"] for r in many], dtype=np.int64).view(np.uint64)
+    into = np.array([ceil_div(r["m"], BLOCK) for r in many], dtype=np.int64)[np.argsort(keys)]
+    keys = np.sort(keys)
+    bits = routed.sparkSession.sparkContext.broadcast(bitmap(open_, F.col("key"), np.zeros(0, np.uint64)))
+    buckets_open = max(1, ceil_div(held, OPEN_ENTRIES))
+    dealt = routed.mapInArrow(lambda it: _points(it, buckets_open, bits.value, keys, into), "bucket int, points binary, fine array<binary>, entries binary")
+    return materialise(dealt.groupBy("bucket").applyInArrow(lambda t: _across(t, percent, sparse), _PAIR).distinct())
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -462,47 +718,32 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, id_col: s
     hot_n = np.array([r["n"] for r in common], dtype=np.int64)
     each = profile.where("not common").drop("common")
     total = each.agg(F.coalesce(F.sum(F.col("n") * (100 - percent) / 100 + 1), F.lit(0))).first()[0]
-    buckets = max(1, ceil_div(int(total), BUCKET_ENTRIES))
+    prefixes = _Prefixes(percent, max(1, ceil_div(int(total), BUCKET_ENTRIES)), hot_h, hot_n)
 
-    blobs = docs.select("text").mapInArrow(lambda it: _entries(it, k, percent, buckets, hot_h, hot_n), "bucket int, points binary, entries binary")
+    blobs = docs.select("text").mapInArrow(lambda it: _entries(it, k, prefixes), "bucket int, points binary, entries binary")
     met = materialise(blobs.groupBy("bucket").applyInArrow(lambda t: _meet(t, percent), _MET))
+    # The vertices are documents: of each set the one of smallest id, so that a component's smallest vertex is its name.
     known = each.where("n > 0 and doc_id is not null")
-    reps = known.groupBy("set").agg(F.min("doc_id").alias("doc_id"))
-    sets = materialise(known.join(reps, ["set", "doc_id"]).select("set", "doc_id", "n", "fine"))
-    # A set whose rows all lack an id links with nothing; rows that repeat an id hang together by it.
-    several = known.groupBy("doc_id").agg(F.min("set").alias("a"), F.max("set").alias("most")).where("a <> most").select("doc_id", "a")
-    same_id = materialise(known.join(several, "doc_id").where("a <> set").select("a", F.col("set").alias("b")).distinct())
+    # A set whose rows all lack an id links with nothing; the sets of an id that repeats hang together by it.
+    sets = materialise(known.groupBy("set").agg(F.min(F.struct("doc_id", "n", "fine")).alias("one")).select("set", "one.*"))
+    twice = materialise(known.groupBy("doc_id").agg(F.min("set").alias("a"), F.max("set").alias("b"), F.count(F.lit(1)).alias("rows")).where("rows > 1"))
+    repeated = not twice.isEmpty()
     pairs = _bounded(met.where("b is not null").select("a", "b"), sets, percent)
-    waiting = met.where("b is null").select("h", "a")
-    wanted = _ends(pairs).unionByName(waiting.select(F.col("a").alias("set"))).distinct()
-    wanted = materialise(sets.join(wanted, "set").select("set", "doc_id"))
-    texts = materialise(likely(docs, wanted.select("doc_id")).join(wanted, "doc_id").select("set", "text"))
-    links = _verified(pairs, texts, k, percent)
+    links = _verified(pairs, docs, repeated, k, percent)
+    large = met.where("key is not null").select("key")
+    if len(prefixes.dealt()) or not large.isEmpty():
+        routed = _route(docs, sets, large, prefixes, k)
+        entries = routed.agg(F.coalesce(F.sum(F.length("keys")), F.lit(0))).first()[0] // _KEYED.itemsize
+        for sparse in (True, False):
+            again = _open_pairs(routed, entries, components(links), prefixes.dealt(), percent, sparse)
+            links = links.unionByName(_verified(again, docs, repeated, k, percent))
+    if repeated:
+        several = known.join(twice.where("a <> b").select("doc_id"), "doc_id").select(F.col("doc_id").alias("a"), "set").distinct()
+        links = links.unionByName(several.join(sets.select("set", F.col("doc_id").alias("b")), "set").select("a", "b"))
     roots = components(links)
 
-    waiting = materialise(waiting.join(roots.withColumnRenamed("node", "a"), "a", "left").select("h", "a", F.coalesce("root", "a").alias("comp")))
-    # Children within one component are done, and so is a child whose points all share the
-    # same larger child, their top: any two of them meet there.
-    open_ = waiting.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("a").alias("m")).where("lo <> hi").select("h", "m")
-    member = materialise(waiting.join(open_, "h"))
-    tops = member.groupBy("a").agg(F.max(F.struct("m", "h"))["h"].alias("top"))
-    member = materialise(member.join(tops, "a"))
-    open_ = member.groupBy("h").agg(F.min("top").alias("lo"), F.max("top").alias("hi"), F.max("m").alias("m")).where("lo <> hi or lo = h")
-    open_ = materialise(open_.select("h", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
-    if not open_.isEmpty():
-        own = F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")
-        dealt = member.join(open_, "h").join(sets.select(F.col("set").alias("a"), "n", "fine"), "a")
-        dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-        again = dealt.select("h", "i", "j", "a", "comp", "top", "n", "fine").groupBy("h", "i", "j").applyInArrow(lambda t: _across(t, percent), _PAIR)
-        links = links.unionByName(_verified(materialise(again.distinct()), texts, k, percent))
-        roots = None
-    if roots is None or not same_id.isEmpty():
-        roots = components(links.unionByName(same_id))
-
-    labelled = known.join(roots.withColumnRenamed("node", "set"), "set", "left").select("doc_id", "n", F.coalesce("root", "set").alias("root"))
-    labelled = materialise(labelled)
-    least = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    linked = labelled.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    named = sets.select("set", "doc_id").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    named = materialise(named.select("set", F.coalesce("root", "doc_id").alias("component_id")))
+    linked = known.select("doc_id", "n", "set").join(named, "set").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = each.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)

@@ -78,18 +78,75 @@ def test_odd_inputs(spark):
     assert got == sorted([(7, 2, 7), (7, 2, 7), (7, 1, 7), (9, 1, 7), (None, 1, None), (3, 0, 3)], key=str)
 
 
-def test_tree_keeps_every_pair():
+def test_forest_keeps_every_pair():
     rng = np.random.default_rng(0)
-    n = rng.integers(5, 400, 700)
-    vec = rng.multinomial(1, [1 / jaccard.GROUPS] * jaccard.GROUPS, 700) * n[:, None] // 3
-    vec = jaccard._wide(np.minimum(vec + rng.integers(0, 9, vec.shape), 255))
-    tree = jaccard.Tree(n, vec)
-    assert sorted(tree.order) == list(range(700))
-    seen = {tuple(sorted((x, y))) for i, j in tree.leaf_pairs(75) for x in tree.leaf(i) for y in tree.leaf(j)}
-    x, y = np.triu_indices(700, 1)
-    ok = jaccard._passes(n[x], n[y], vec[x], vec[y], 75)
-    assert set(zip(x[ok].tolist(), y[ok].tolist(), strict=True)) <= seen
-    assert len(seen) < 700 * 701 / 2
+    n = rng.integers(5, 400, 900)
+    vec = rng.multinomial(1, [1 / jaccard.GROUPS] * jaccard.GROUPS, 900) * n[:, None] // 3
+    vec = (vec + rng.integers(0, 9, vec.shape)).astype(np.int32)
+    child = np.concatenate((np.zeros(500, int), rng.integers(1, 60, 400))).astype(np.uint64)
+    comp = rng.integers(0, 3, 900)
+    x, y = np.triu_indices(900, 1)
+    ok = jaccard._passes(n[x], n[y], vec[x], vec[y], 75) & (child[x] == child[y])
+    for own in (None, comp, n // 40):
+        forest = jaccard.Forest(child, n, vec, own)
+        assert sorted(forest.order) == list(range(900)) and len(forest.levels) > 3
+        found = [tuple(sorted(p)) for a, b in forest.pairs(75) for p in zip(a.tolist(), b.tolist(), strict=True)]
+        seen = set(found)
+        assert len(seen) == len(found) and all(child[a] == child[b] for a, b in seen)
+        apart = ok if own is None else ok & (own[x] != own[y])
+        assert set(zip(x[apart].tolist(), y[apart].tolist(), strict=True)) <= seen
+        assert forest.parted > 0 and len(seen) < (child[x] == child[y]).sum()
+    assert list(jaccard.Forest(child[:0], n[:0], vec[:0]).pairs(75)) == []
+
+
+def test_fine_bound():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 2**64, m, dtype=np.uint64)) for m in (1, 3, 40, 200, 900, 5000)]
+    sets += [np.unique(np.concatenate((s[::2], rng.integers(0, 2**64, 50, dtype=np.uint64)))) for s in sets]
+    x, y = np.triu_indices(len(sets))
+    bound = jaccard._Fine([jaccard._fine(s) for s in sets], np.array([len(s) for s in sets])).bound(x, y)
+    assert all(b >= len(np.intersect1d(sets[i], sets[j])) for b, i, j in zip(bound, x, y, strict=True))
+    x, y = (np.unique(rng.integers(0, 2**64, 300, dtype=np.uint64)) for _ in range(2))
+    for more, most in ((0, 220), (1, 160)):  # unrelated sets: a link takes 258
+        assert jaccard._Fine([jaccard._fine(x, more), jaccard._fine(y, more)], np.array([300, 300])).bound(np.array([0]), np.array([1])) < most
+
+
+@pytest.mark.parametrize("large", [2, 64])
+def test_groups_that_a_passage_joins(spark, monkeypatch, large):
+    # Two groups of near copies around one passage, linked through a few documents only.
+    monkeypatch.setattr(jaccard, "LARGE", large)
+    monkeypatch.setattr(jaccard, "OPEN_ENTRIES", 400)
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage = [word() for _ in range(90)]
+    rows = []
+    for _ in range(3):
+        base = passage + [word() for _ in range(20)]
+        rows += [" ".join(near(rng, base, rng.randrange(4))) for _ in range(80)]
+    rows += [" ".join(passage + [word() for _ in range(rng.randrange(30))]) for _ in range(60)]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows)
+
+
+def test_trees_decide_on_ordinary_tables(spark, monkeypatch):
+    # Every candidate pair of sf0.1 comes out of a tree, and boxes part some of the nodes.
+    documents = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").toArrow().column("text").combine_chunks()
+    made = []
+
+    class Counted(jaccard.Forest):
+        def __init__(self, child, *more):
+            super().__init__(child, *more)
+            self.entries = len(child)
+            made.append(self)
+
+    monkeypatch.setattr(jaccard, "Forest", Counted)
+    prefixes = jaccard._Prefixes(75, 1, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    blobs = jaccard.pa.Table.from_batches(list(jaccard._entries([jaccard.pa.record_batch([documents], names=["text"])], 5, prefixes)))
+    met = jaccard._meet(blobs, 75)
+    assert met.num_rows and sum(f.entries for f in made) > 1000 and sum(f.tested for f in made) >= met.num_rows
+    assert sum(f.parted for f in made) > 0 and max(len(f.levels) for f in made) > 1
 
 
 def test_components(spark):
@@ -104,14 +161,6 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
-def test_children_inside_others():
-    sets = [[1, 2, 3, 4], [2, 3], [1, 2, 3, 4], [4, 5], [5], [6, 7]]
-    length = np.array([len(x) for x in sets])
-    got = jaccard._inside_another(np.cumsum(length) - length, length, np.concatenate(sets), np.array([True] * 5 + [False]))
-    # [4, 5] reaches over the border of [1, 2, 3, 4]; [5] lies in it; of equal ones the first stays.
-    assert got.tolist() == [False, True, True, False, True, False]
-
-
 def test_one_id_with_several_texts(spark):
     rng = random.Random(3)
     rows = []
