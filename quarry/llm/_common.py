@@ -6,6 +6,8 @@ import atexit
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -33,32 +35,51 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _written: list[tuple[SparkSession, str]] = []
+_inside: ContextVar[list | None] = ContextVar("quarry_tables", default=None)
 
 
 def materialise(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage ends there.
 
-    The files outlive any executor and go when the driver ends.
+    The files outlive any executor and go with the scope of settled(), or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/quarry-{uuid.uuid4().hex}"
+    own = _inside.get()
+    (_written if own is None else own).append((spark, path))
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written() -> None:
-    """Delete every table that materialise() wrote."""
-    while _written:
-        spark, path = _written.pop()
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """What make() gives, written; every other table that it wrote is deleted then."""
+    own: list = []
+    token = _inside.set(own)
+    try:
+        out = make()
+    finally:
+        _inside.reset(token)
+    try:
+        return materialise(out)
+    finally:
+        _delete(own)
+
+
+def _delete(tables: list) -> None:
+    while tables:
+        spark, path = tables.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
         except Exception:  # the session has ended: its folder goes with it
             return
 
 
+def drop_written() -> None:
+    """Delete every table that materialise() wrote."""
+    _delete(_written)
+
+
 atexit.register(drop_written)
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._common import materialise
+from quarry.llm._common import materialise, settled
 
 
 def _undirected(edges: DataFrame) -> DataFrame:
@@ -34,7 +34,10 @@ def components(edges: DataFrame) -> DataFrame:
     root is the smallest vertex of the component. Loops, repeated edges and nulls
     don't matter; no edges give an empty table.
     """
-    edges = materialise(_undirected(edges))
+    return settled(lambda: _contracted(materialise(_undirected(edges))))
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
     found = None
     while not edges.isEmpty():
         hooks = _flat(materialise(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent"))))

@@ -142,7 +142,7 @@ def mix(
     fresh = F.coalesce((F.col("_endless") != F.lag("_endless").over(inside)).cast("long"), F.lit(0))
     moved = moved.withColumns({"position": F.col("position") + F.row_number().over(inside) - 1, "_fresh": fresh})
     moved = moved.withColumn("slot", F.col("slot") + F.sum("_fresh").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return moved.select(*out)
+    return moved.sortWithinPartitions("part", "_endless", "_n").select(*out)  # as the last window has left them, if places are asked for
 
 
 def _repeats(placed: DataFrame) -> bool:
