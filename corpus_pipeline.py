@@ -14,18 +14,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import queries as q
-from quarry.llm._common import materialise, table
+from quarry.llm._common import materialise, settled, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts. It is fitted on the labelled rows of the corpus, as in op6."""
+    """Documents that the classifier accepts. It is fitted on the labelled rows of the corpus, as in op6.
+
+    Null and empty texts are scored as any other; rows that repeat an id, or have none, are judged one by one."""
     from quarry.llm.quality import score
 
     return score(docs, q.quality_machine(spark, sf_dir), threshold=0.7).where("predicted = 1").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each component; of rows that repeat an id, all whose id stays."""
+    """The document of smallest id of each component; of rows that repeat an id, all whose id stays. Rows without an id stay."""
     from quarry.llm.jaccard import jaccard_components
 
     found = jaccard_components(docs, k=5, percent=75)
@@ -42,24 +44,25 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _placed(docs: DataFrame) -> DataFrame:
-    """docs in the order of the mixture, with block, slot and position: they follow from ids, sources and counts alone."""
+    """docs in the order of the mixture, with block, slot and position: they follow from rows, sources and counts alone."""
     from quarry.llm.mixing import mix
 
-    return mix(docs, q.MIX_WEIGHTS, default_weight=1, block_rows=64).orderBy("position")
+    return mix(docs, q.MIX_WEIGHTS, default_weight=1, block_rows=64)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, written in the order of the mixture."""
+    """All documents, written in the order of the mixture. Sources and ids may be null; rows alike in all columns follow one another."""
     return _placed(docs).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of every text, a digest of them and of what they decode to, and the row's place in the mixture, in its order."""
+    """The token ids of every text, a digest of them and of what they decode to, and the row's place in the mixture, in its order.
+
+    The places are those of mixing: they don't depend on the order in which rows are read."""
     from quarry.llm.bpe import encode
 
     ranks, pattern = q.tokenizer()
-    placed = _placed(docs.select("doc_id", "lang", "source", "text"))
-    out = encode(placed, ranks, pattern, keep=("doc_id", "lang", "source", "block", "slot", "position"), decoded=True)
+    out = encode(_placed(docs), ranks, pattern, keep=("doc_id", "lang", "source", "block", "slot", "position"), decoded=True)
     return out.select("doc_id", "lang", "source", "block", "slot", "position", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -70,13 +73,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in turn over documents; between them, each result is written and read again."""
+    """The stages in turn over documents; between them, each result is written and read again, and what else a stage wrote is deleted."""
     docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = materialise(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = settled(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 QUERIES = {"pipeline": run}
