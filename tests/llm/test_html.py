@@ -1,5 +1,6 @@
 import html as htmllib
 import re
+import time
 
 import pytest
 
@@ -14,7 +15,8 @@ CASES = {
     "divs": (f"<div class=menu><a href=x>one</a></div><div><div class=content><p>{LONG}</p><p>{LONG}</p><ul><li>a, b</li></ul></div><div class=sidebar>{LONG * 3}</div></div>", f"{LONG}{LONG}a, b"),
     "scripts": (f"<article><script>var t='</p><p>{LONG}';</script><style>p{{}}</style><!-- <p>no</p> --><p>yes, it is</p><noscript>no</noscript></article>", "yes, it is"),
     "hidden": (f"<article><p hidden>{LONG}</p><p style='display: none'>no</p><p>shown</p></article>", "shown"),
-    "link list": (f"<article><p>{LONG}</p><ul><li><a href=a>a first other story</a></li><li><a href=b>a second other story</a></li></ul></article>", LONG.strip()),
+    "link list": (f"<article><p>{LONG}</p><ul><li><a href=a>a first other story</a></li><li><a href=b>a second other story</a></li></ul></article>", f"{LONG}a first other story a second other story"),
+    "link list beside": (f"<div><p>{LONG}</p><p>{LONG}</p><ul><li><a href=a>a first other story</a></li><li><a href=b>a second other story</a></li></ul></div>", f"{LONG}{LONG.strip()}"),
     "sections": (f"<article><section><p>{LONG}</p></section><section><p>{LONG}</p></section><div><p>end</p></div></article>", f"{LONG}{LONG}end"),
     "plain": ("just words, no tags", "just words, no tags"),
     "cut off": ("<article><p>word <a hre", "word"),
@@ -52,3 +54,23 @@ def test_odd_rows(spark):
     got = extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert [tuple(r) for r in got] == [(1, "u", "", 0), (1, "u", "", 0), (None, None, "hi", 2)]
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+@pytest.mark.parametrize("unit", ["<x y ", "a <b c ", "<div>a, ", '<p>a "b" <i', "</b>", "<a href='", "<li>x", "<span>", "</section>x<span>", "<td>", '<b title="x>', '<div x="', "<article><div>z,</section>", "<script>", "<ul><li><a href=q>t</a>"])
+def test_time_is_linear(unit):
+    page = (unit * (1_000_000 // len(unit) + 1))[:1_000_000]
+    began = time.perf_counter()
+    main_text(page)
+    assert time.perf_counter() - began < 4  # about 1 s; quadratic steps would take minutes
+
+
+def test_siblings_of_the_container():
+    long = "A sentence, with commas, that goes on for a while and says something of use. " * 6
+    page = f"<body><div><h1>Title</h1><div><p>{long}</p><p>{long}</p></div><p>Short end.</p><p><a href=x>Other</a></p></div></body>"
+    assert main_text(page) == " ".join(["Title", long.strip(), long.strip(), "Short end."])
+    links = "".join(f"<li><a href=x{i}>A reference with a title {i}</a></li>" for i in range(9))
+    assert main_text(f"<article><p>{long}</p><ul>{links}</ul></article>").endswith("A reference with a title 8")
+
+
+def test_names_that_change_length_in_lower_case():
+    assert main_text("<article><p>İİİİ one</p><SCRIPT>x</p></scripty></ScRiPt ><p>two</p></article>") == "İİİİ one two"
