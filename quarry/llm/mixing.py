@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import heapq
 from bisect import bisect_right
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -100,6 +101,7 @@ def _md5(col):
 
 def mix(
     docs: DataFrame, weights: dict[str, int], default_weight: int = 1, block_rows: int = 64, source_col: str = "source", id_col: str = "doc_id",
+    through: Callable[[DataFrame, list[str]], DataFrame] | None = None,
 ) -> DataFrame:
     """docs, all columns kept, with each row's block in its source, slot and position in the mixture, in its order.
 
@@ -111,6 +113,9 @@ def mix(
     columns follow one another in any order. docs is read twice, so it should be a table, or
     cheap. Partitions are consecutive parts of the mixture, each sorted. An empty table stays empty.
 
+    through, if given, is applied to each row before it moves: it gets the rows and the names of some
+    columns of theirs that it must keep, and its other columns are returned in place of those of docs.
+
     More columns: block long, slot long, position long (an input column of that name is replaced).
     """
     docs = docs.drop("block", "slot", "position")
@@ -118,6 +123,14 @@ def mix(
     key = F.concat(_md5(F.col(f"_in.`{id_col}`")), F.lower(F.lpad(F.hex(F.xxhash64("_in")), 16, "0")))
     keyed = whole.select("_in", key.alias("_key"), F.col(f"_in.`{source_col}`").cast("string").alias("source"))
     out = ("_in.*", "block", "slot", "position")
+
+    def passed(moved: DataFrame) -> DataFrame:
+        if through is None:
+            return moved
+        own = [c for c in moved.columns if c != "_in"]
+        made = through(moved.select(F.struct(*own).alias("_own"), "_in.*"), ["_own"])
+        return made.select("_own.*", F.struct(*(made[f"`{c}`"] for c in made.columns if c != "_own")).alias("_in"))
+
     rows = materialise(keyed.select("source", F.col("_key").alias("key"), F.lit(None).cast("long").alias("doc_id")))
     plan = materialise(_plan(rows, weights, default_weight))
     placed = materialise(_placed(rows, plan, block_rows))
@@ -129,13 +142,13 @@ def mix(
         same = lambda df, c: df.withColumn("_same", F.row_number().over(Window.partitionBy("source", c).orderBy(F.lit(0))))
         where = same(placed, "key").select(F.col("source").alias("_of"), F.col("key").alias("_of_key"), F.col("_same").alias("_of_same"), "block", "slot", "position", "_part")
         moved = same(keyed, "_key").join(where, F.col("source").eqNullSafe(F.col("_of")) & (F.col("_key") == F.col("_of_key")) & (F.col("_same") == F.col("_of_same")))
-        return moved.repartitionById(parts, F.col("_part")).sortWithinPartitions("position").select(*out)
+        return passed(moved.select("_in", "block", "slot", "position", "_part")).repartitionById(parts, F.col("_part")).sortWithinPartitions("position").select(*out)
     cuts = placed.groupBy("source", "_part").agg(F.min("key").alias("key"), F.min("_n").alias("_n")).collect()  # MAX_CUTS at most
     starts = {r["_part"]: (r["position"], r["slot"]) for r in placed.groupBy("_part").agg(F.min("position").alias("position"), F.min("slot").alias("slot")).collect()}
     digits, borders = _borders(docs.sparkSession, cuts, starts)
     moved = keyed.join(F.broadcast(borders), F.col("source").eqNullSafe(F.col("_from")) & (F.substring("_key", 1, digits) == F.col("_digits")))
     last = F.element_at(F.filter("_cuts", lambda c: c["key"] <= F.col("_key")), -1)
-    moved = moved.withColumn("_cut", last).select("_in", "_key", "source", "_cut.*").repartitionById(parts, F.col("part"))
+    moved = passed(moved.withColumn("_cut", last).select("_in", "_key", "source", "_cut.part", "_cut.n", "_cut.position", "_cut.slot")).repartitionById(parts, F.col("part"))
     within = F.row_number().over(Window.partitionBy("part", "source").orderBy("_key"))
     moved = _slotted(moved.withColumn("_n", F.col("n") + within - 1), plan, block_rows)
     inside = Window.partitionBy("part").orderBy("_endless", "_n")

@@ -82,3 +82,12 @@ def test_many_sources_and_fine_weights(spark):
 def test_texts_move_once(spark):
     plan = mix(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), {})._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") - plan.count("BroadcastExchange ") == 1
+
+
+@pytest.mark.parametrize("cuts", [10**6, 0])
+def test_through(spark, monkeypatch, cuts):
+    monkeypatch.setattr(mixing, "MAX_CUTS", cuts)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = mix(docs, {}, through=lambda df, keep: df.select(*keep, "doc_id", (df.n_chars * 2).alias("n"))).collect()
+    want = {r.doc_id: (2 * r.n_chars, r.position) for r in mix(docs, {}).collect()}
+    assert {r.doc_id: (r.n, r.position) for r in got} == want and [r.position for r in got] == list(range(len(want)))
