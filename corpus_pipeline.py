@@ -43,27 +43,29 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
-def _placed(docs: DataFrame) -> DataFrame:
-    """docs in the order of the mixture, with block, slot and position: they follow from rows, sources and counts alone."""
-    from quarry.llm.mixing import mix
-
-    return mix(docs, q.MIX_WEIGHTS, default_weight=1, block_rows=64)
-
-
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, written in the order of the mixture. Sources and ids may be null; rows alike in all columns follow one another."""
-    return _placed(docs).select(*docs.columns)
+    from quarry.llm.mixing import mix
+
+    return mix(docs, q.MIX_WEIGHTS, default_weight=1, block_rows=64).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of every text, a digest of them and of what they decode to, and the row's place in the mixture, in its order.
 
-    The places are those of mixing: they don't depend on the order in which rows are read."""
+    The places are those of mixing: they follow from rows, sources and counts, not from the order in which rows
+    are read. Texts are encoded where they are read; only ids move."""
     from quarry.llm.bpe import encode
+    from quarry.llm.mixing import mix
 
     ranks, pattern = q.tokenizer()
-    out = encode(_placed(docs), ranks, pattern, keep=("doc_id", "lang", "source", "block", "slot", "position"), decoded=True)
-    return out.select("doc_id", "lang", "source", "block", "slot", "position", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+    def encoded(rows: DataFrame, keep: list[str]) -> DataFrame:
+        out = encode(rows, ranks, pattern, keep=(*keep, "doc_id", "lang", "source"), decoded=True)
+        return out.withColumns({"ids_sha256": F.sha2("ids", 256), "decoded_sha256": F.sha2("decoded", 256)}).drop("decoded")
+
+    out = mix(docs, q.MIX_WEIGHTS, default_weight=1, block_rows=64, through=encoded)
+    return out.select("doc_id", "lang", "source", "block", "slot", "position", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("pii", pii), ("mixing", mixing), ("bpe", tokens)]
