@@ -428,6 +428,7 @@ def _meet(blobs: pa.Table, percent: int) -> pa.Table:
     pairs = np.unique(np.concatenate(pairs))
     wait = np.flatnonzero((length > LARGE) & ~spread)
     none = lambda k: pa.nulls(k, pa.int64())
+    release()
     met = [mark[pairs // max(u, 1)], mark[pairs % max(u, 1)], none(len(pairs)), none(len(pairs))]
     open_ = [none(len(wait)), none(len(wait)), bucket << 32 | h[start[wait]].astype(np.int64), length[wait]]
     return pa.concat_tables([pa.table(met, schema=_MET_ARROW), pa.table(open_, schema=_MET_ARROW)])
@@ -620,6 +621,7 @@ def _across(blobs: pa.Table, percent: int, sparse: bool) -> pa.Table:
         swap = p["set"][x] > p["set"][y]
         found.append(np.unique(np.stack((np.where(swap, y, x), np.where(swap, x, y)), axis=1), axis=0))
     x, y = np.unique(np.concatenate(found), axis=0).T
+    release()
     return pa.table({"a": p["set"][x], "b": p["set"][y], "doc_a": p["doc"][x], "doc_b": p["doc"][y]})
 
 

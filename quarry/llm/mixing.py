@@ -31,8 +31,8 @@ from quarry.llm._ranks import numbered
 MAX_CYCLE = 1 << 20
 #: Slots of a bucket, and buckets of a larger one, in which blocks are counted.
 SLOTS, BUCKETS = 64, 4096
-#: Rows of a part of the mixture, about.
-PART_ROWS = 20_000
+#: Rows of a part of the mixture, about, up to so many parts; rows of larger parts, of which there are more.
+PART_ROWS, PARTS, LARGE_ROWS = 4096, 4096, 50_000
 #: Borders of parts in sources up to which they are broadcast; with more of them, rows are joined to their places.
 MAX_CUTS = 200_000
 
@@ -135,7 +135,7 @@ def mix(
     plan = materialise(_plan(rows, weights, default_weight))
     placed = materialise(_placed(rows, plan, block_rows))
     total, sources = placed.count(), plan.count()
-    parts = max(1, min(total, max(ceil_div(total, PART_ROWS), 2 * docs.sparkSession.sparkContext.defaultParallelism)))
+    parts = max(1, min(PARTS, ceil_div(total, PART_ROWS)), ceil_div(total, LARGE_ROWS))
     placed = placed.withColumn("_part", F.expr(f"cast(position * {parts} div {max(total, 1)} as int)"))
     if parts * sources > MAX_CUTS or _repeats(placed):
         # The rows of one key are numbered on both sides, and matched by these numbers.
