@@ -1,63 +1,96 @@
-"""Jaro-Winkler similarity, and the fuzzy score of a title, as Arrow-batched functions."""
+"""Jaro-Winkler similarity, and the fuzzy score of a title, over whole Arrow batches at once."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
 
+def _letters(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points by row, padded with zeros, and the rows' lengths."""
+    size = np.array([len(s) for s in strings], dtype=np.int64)
+    out = np.zeros((len(strings), int(size.max(initial=0))), dtype=np.uint32)
+    flat = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), "<u4")
+    out[np.arange(out.shape[1]) < size[:, None]] = flat
+    return out, size
+
+
+def _in_order(letters: np.ndarray, matched: np.ndarray, most: int) -> np.ndarray:
+    """The matched letters of each row, moved to the left."""
+    out = np.zeros((len(letters), most), dtype=np.uint32)
+    row, column = np.nonzero(matched)
+    out[row, (np.cumsum(matched, axis=1) - 1)[row, column]] = letters[row, column]
+    return out
+
+
+def jaro_all(strings: list[str], word: str) -> np.ndarray:
+    """The Jaro similarity of each string with a word, letter by letter for all strings together."""
+    a, n = _letters(strings)
+    b = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), "<u4")
+    if not len(b) or not len(a):
+        return np.zeros(len(strings))
+    reach = np.maximum(np.maximum(n, len(b)) // 2 - 1, 0)
+    place = np.arange(len(b))
+    taken = np.zeros((len(a), len(b)), dtype=bool)
+    found = np.zeros(a.shape, dtype=bool)
+    for i in range(a.shape[1]):
+        free = (b == a[:, i, None]) & ~taken & (np.abs(place - i) <= reach[:, None])
+        free[i >= n] = False
+        hit = np.flatnonzero(free.any(axis=1))
+        taken[hit, free[hit].argmax(axis=1)] = True
+        found[hit, i] = True
+    m = found.sum(axis=1)
+    most = int(m.max(initial=0))
+    same = np.broadcast_to(b, taken.shape)
+    swaps = (_in_order(a, found, most) != _in_order(same, taken, most)).sum(axis=1) // 2
+    some = np.maximum(m, 1)
+    return np.where(m > 0, (m / np.maximum(n, 1) + m / len(b) + (m - swaps) / some) / 3, 0.0)
+
+
 def jaro(a: str, b: str) -> float:
-    if a == b:
-        return 1.0 if a else 0.0
-    if not a or not b:
-        return 0.0
-    reach = max(len(a), len(b)) // 2 - 1
-    taken = [False] * len(b)
-    from_a = []
-    for i, c in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not taken[j] and b[j] == c:
-                taken[j] = True
-                from_a.append(c)
-                break
-    m = len(from_a)
-    if not m:
-        return 0.0
-    from_b = [c for c, t in zip(b, taken, strict=True) if t]
-    swaps = sum(x != y for x, y in zip(from_a, from_b, strict=True)) // 2
-    return (m / len(a) + m / len(b) + (m - swaps) / m) / 3
+    return float(jaro_all([a], b)[0])
 
 
-def jaro_winkler(a: str, b: str) -> float:
+def jaro_winkler_all(strings: list[str], word: str) -> np.ndarray:
     """Jaro similarity with Winkler's bonus of 0.1 for each of up to 4 common first letters, above 0.7."""
-    s = jaro(a, b)
-    if s <= 0.7:
-        return s
-    prefix = 0
-    for x, y in zip(a[:4], b[:4], strict=False):
-        if x != y:
-            break
-        prefix += 1
-    return s + prefix * 0.1 * (1 - s)
+    s = jaro_all(strings, word)
+    common = np.array([next((i for i, (x, y) in enumerate(zip(t[:4], word[:4], strict=False)) if x != y), min(len(t), len(word), 4)) for t in strings], dtype=np.int64)
+    return np.where(s > 0.7, s + common * 0.1 * (1 - s), s)
 
 
-def title_similarity(title: str, words: list[list[str]]) -> float:
-    """How close a normalised title is to the words of a query, each with its spellings.
+def jaro_winkler(a: str, b: str) -> float:
+    return float(jaro_winkler_all([a], b)[0])
+
+
+def title_similarities(titles: list[str], words: list[list[str]]) -> np.ndarray:
+    """How close normalised titles are to the words of a query, each with its spellings.
 
     The best of: whole against whole, both without spaces, and the weakest word's best match
     among the title's words. Words of under four letters match exactly or not at all.
     """
-    flat = title.strip()
-    parts = flat.split(" ")
+    flat = [t.strip() for t in titles]
+    parts = [t.split(" ") for t in flat]
+    codes, tokens = pd.factorize(np.array([p for own in parts for p in own], dtype=object))
+    begin = np.concatenate(([0], np.cumsum([len(p) for p in parts])))[:-1].astype(np.int64)
+    tokens = list(tokens)
+
+    def best(word: str) -> np.ndarray:
+        near = np.array([float(t == word) for t in tokens]) if len(word) < 4 else jaro_winkler_all(tokens, word)
+        return np.maximum.reduceat(near[codes], begin)
+
+    if not titles:
+        return np.zeros(0)
     typed = [w[0] for w in words]
+    token = np.minimum.reduce([np.maximum.reduce([best(s) for s in spellings]) for spellings in words])
+    packed = jaro_winkler_all([t.replace(" ", "") for t in flat], "".join(typed))
+    return np.maximum.reduce([jaro_winkler_all(flat, " ".join(typed)), packed, token])
 
-    def best(w: str) -> float:
-        return float(w in parts) if len(w) < 4 else max(jaro_winkler(t, w) for t in parts)
 
-    token = min(max(best(s) for s in spellings) for spellings in words)
-    return max(jaro_winkler(flat, " ".join(typed)), jaro_winkler(flat.replace(" ", ""), "".join(typed)), token)
+def title_similarity(title: str, words: list[list[str]]) -> float:
+    return float(title_similarities([title], words)[0])
 
 
 def similarity_to(words: list[list[str]]):
@@ -69,7 +102,7 @@ def similarity_to(words: list[list[str]]):
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for titles in batches:
             codes, distinct = pd.factorize(titles)
-            yield pd.Series([title_similarity(t, words) for t in distinct])[codes].reset_index(drop=True)
+            yield pd.Series(title_similarities(list(distinct), words)[codes])
 
     score.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(score, "double").asNondeterministic()

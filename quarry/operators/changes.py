@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def upsert(old: DataFrame, delta: DataFrame, keys: list[str]) -> DataFrame:
-    """old with the rows of delta in place of those of the same keys; of rows of delta with one key, any one."""
-    delta = delta.dropDuplicates(keys)
+    """old with the rows of delta in place of those of the same keys; of rows of delta with one key, the greatest by a hash of the row."""
+    same = Window.partitionBy(*keys).orderBy(F.xxhash64(F.struct(*delta.columns)).desc())
+    delta = delta.withColumn("_turn", F.row_number().over(same)).where("_turn = 1").drop("_turn")
     return old.join(delta.select(*keys), keys, "left_anti").unionByName(delta, allowMissingColumns=True)
 
 

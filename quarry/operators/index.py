@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -132,3 +132,8 @@ def stats(index: DataFrame) -> DataFrame:
 def write(index: DataFrame, path: str) -> None:
     """Replace an index: Parquet by source table, so that a table filter prunes folders."""
     index.write.mode("overwrite").partitionBy("src_table").parquet(path)
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """A stored index. Filters on words reach its files, and only the columns that a search needs are read."""
+    return spark.read.schema(SCHEMA).parquet(path).select(*SCHEMA.names)

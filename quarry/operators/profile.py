@@ -10,8 +10,16 @@ from pyspark.sql import functions as F
 # The patterns and limits by which columns are judged and titles ranked.
 UUID = r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$|^\d{20,}$"
 MAX_AVG_CHARS = 1500
-#: Names of columns that hold no searchable text.
-JUNK = r"(?i)json|xml|html|base64|photo|image|blob|\blog\b|audit|histor|response|prompt|embed|token|hash|passw|uuid|guid|^id$|^id[_ ]|_id$|modif|creat|timestamp"
+#: Words of a column's name by what such columns hold that no one searches for.
+UNSEARCHED = {
+    "markup": "css html markdown markup rtf svg xml yaml json".split(),
+    "media": "audio avatar icon image img logo photo picture thumbnail video".split(),
+    "bytes": "base64 binary blob bytes raw".split(),
+    "secrets": "apikey credential credentials password passwd pin pwd salt secret".split(),
+    "machine keys": "checksum crc etag fingerprint guid hash md5 sha sha1 sha256 signature uuid".split(),
+    "bookkeeping": "audit created history inserted log modified revision synced timestamp updated version".split(),
+    "model data": "completion embedding embeddings logits prompt tokens vector".split(),
+}
 
 
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -32,7 +40,13 @@ def profile(df: DataFrame, columns: list[str]) -> DataFrame:
 def decide(profiled: DataFrame) -> DataFrame:
     """profiled with why a column is left out; null for those that stay."""
     why = F.when(F.col("empty") >= 0.999, "empty").when(F.col("avg_chars") > MAX_AVG_CHARS, "long").when(F.col("json") > 0.5, "JSON").when(F.col("uuid") > 0.5, "UUID")
-    return profiled.withColumn("why", why)
+    return profiled.withColumn("why", F.coalesce(why, unsearched(F.col("field"))))
+
+
+def unsearched(name: Column) -> Column:
+    """What a column named so holds that no one searches for; null for any other name. Words are read at _, blanks and changes of case."""
+    words = F.split(F.lower(F.regexp_replace(F.regexp_replace(name, r"(?<=[a-z0-9])(?=[A-Z])", " "), r"[_\W]+", " ")), " ")
+    return F.coalesce(*(F.when(F.arrays_overlap(words, F.array(*map(F.lit, own))), kind) for kind, own in UNSEARCHED.items()))
 
 
 def title_rank(name: Column) -> Column:
@@ -46,10 +60,8 @@ def title_rank(name: Column) -> Column:
 
 
 def choose_key(fields: list[str], declared: str | None = None, hint: str | None = None) -> str | None:
-    """The primary key of a schema: declared, hinted, or by name; never a row number."""
+    """The primary key of a schema: declared, or by name, or else hinted; never a row number."""
     usable = [f for f in fields if f.upper() != "ROWID"]
-    if hint and hint in usable:
-        return hint
     for pattern in (r"uuid|guid", None, r"^(pk|id)$|^pk_|_pk$", r"^id_|_id$|id$"):
         if pattern is None:
             if declared in usable:
@@ -58,7 +70,7 @@ def choose_key(fields: list[str], declared: str | None = None, hint: str | None
         found = next((f for f in usable if re.search(pattern, f, re.IGNORECASE)), None)
         if found:
             return found
-    return None
+    return hint if hint in usable else None
 
 
 def match_schema(live: DataFrame, known: DataFrame) -> DataFrame:
@@ -83,11 +95,11 @@ def match_schema(live: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def merge_saved(scanned: DataFrame, saved: DataFrame, key: str) -> DataFrame:
-    """scanned with every value that was saved in place of its own."""
+    """scanned with every value that was saved in place of its own, a saved null too."""
     cols = [c for c in scanned.columns if c != key]
-    s = saved.select(key, *(F.col(c).alias(f"_{c}") for c in cols if c in saved.columns))
+    s = saved.select(key, F.lit(True).alias("_saved"), *(F.col(c).alias(f"_{c}") for c in cols if c in saved.columns))
     out = scanned.join(s, key, "left")
-    return out.select(key, *(F.coalesce(f"_{c}", c).alias(c) if c in saved.columns else F.col(c) for c in cols))
+    return out.select(key, *(F.when(F.col("_saved"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in saved.columns else F.col(c) for c in cols))
 
 
 def display_names(tables: DataFrame) -> DataFrame:

@@ -6,7 +6,10 @@ import hashlib
 import json
 import re
 from collections import OrderedDict
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +47,16 @@ def error_kind(message: Column) -> Column:
     )
 
 
+def error_class(message: str) -> str:
+    """error_kind of one message on the driver."""
+    m = message.lower()
+    if re.search(r"quota|rate.?limit|429|billing|insufficient", m):
+        return "quota"
+    if re.search(r"401|403|api.?key|unauthor|forbidden|permission", m):
+        return "auth"
+    return "network" if re.search(r"timeout|timed out|network|econn|enotfound|fetch failed|socket|5\d\d", m) else "other"
+
+
 def parse_json(text: str):
     """The JSON value in a model's answer, fenced or surrounded by words; None if there is none."""
     text = re.sub(r"^\s*```(?:json)?\s*|\s*```\s*$", "", text or "")
@@ -97,11 +110,7 @@ def enrich(index: DataFrame, client: Callable[[str, list[str]], list[str | None]
     client(prompt, texts) answers for each text; a text without an answer gets an empty note,
     so that it isn't asked again.
     """
-    key = F.lit(None).cast("string")
-    for table, prompt in prompts.items():
-        key = F.when(F.col("src_table") == table, enrich_key(model, prompt)).otherwise(key)
-    todo = index.withColumn("_key", key).where(F.col("_key").isNotNull() & ~F.col("enrich_key").eqNullSafe(F.col("_key")))
-    todo = changes.work_queue(todo, cap).select("src_table", "record_id", "source_text", "_key")
+    todo = _enrichable(index, model, prompts, cap)
 
     def run(batches):
         for whole in batches:
@@ -117,7 +126,19 @@ def enrich(index: DataFrame, client: Callable[[str, list[str]], list[str | None]
                     pa.array([r["_key"] for r in part]),
                 ], names=["src_table", "record_id", "note", "enrich_key"])
 
-    notes = todo.mapInArrow(run, "src_table string, record_id string, note string, enrich_key string")
+    return _noted(todo.mapInArrow(run, "src_table string, record_id string, note string, enrich_key string"))
+
+
+def _enrichable(index: DataFrame, model: str, prompts: dict[str, str], cap: int) -> DataFrame:
+    """(src_table, record_id, source_text, _key) of stale rows of the tables with a prompt."""
+    key = F.lit(None).cast("string")
+    for table, prompt in prompts.items():
+        key = F.when(F.col("src_table") == table, enrich_key(model, prompt)).otherwise(key)
+    todo = index.withColumn("_key", key).where(F.col("_key").isNotNull() & ~F.col("enrich_key").eqNullSafe(F.col("_key")))
+    return changes.work_queue(todo, cap).select("src_table", "record_id", "source_text", "_key")
+
+
+def _noted(notes: DataFrame) -> DataFrame:
     return notes.select("src_table", "record_id", clean_note(F.col("note")).alias("enrich_text"), normalise(F.col("note")).alias("enrich_norm"), "enrich_key")
 
 
@@ -126,6 +147,80 @@ def should_stop(failed: int, calls: int) -> bool:
     return failed >= 5 and failed * 2 > calls
 
 
+@dataclass
+class Pass:
+    """What a pass over rows did: calls, of which failed; rows answered; why it ended before its rows did, if it did."""
+
+    calls: int = 0
+    failed: int = 0
+    answered: int = 0
+    stopped: str = ""
+
+
+def run_calls(
+    rows: Iterable[dict], call: Callable[[list[dict]], list], save: Callable[[list[tuple[dict, object]]], None],
+    per_call: int = 10, workers: int = 4, flush: int = 50, tries: int = 2, cancelled: Callable[[], bool] = lambda: False,
+) -> Pass:
+    """Ask call for groups of rows, several at once, and save what is answered as it comes.
+
+    This runs on the driver, over a bounded queue: a paid call is made once, whatever becomes of an executor,
+    and what was saved isn't asked again when the pass is repeated. save gets (row, answer) pairs, at least
+    flush of them but for the last time; a group that is answered in part has None for the rest. A call that
+    fails for the network is tried again; quota and keys are not. The pass ends early by should_stop, or when
+    cancelled() says so, and keeps its progress.
+    """
+    done, ready = Pass(), []
+    rows = iter(rows)
+
+    def ask(group: list[dict]) -> list | None:
+        for left in range(tries - 1, -1, -1):
+            try:
+                answers = list(call(group))[: len(group)]
+                return [*answers, *[None] * (len(group) - len(answers))]
+            except Exception as e:  # whatever a client raises is its failure, not the pass's
+                if not left or error_class(str(e)) in ("quota", "auth"):
+                    return None
+        return None
+
+    with ThreadPoolExecutor(max_workers=min(max(workers, 1), 16)) as pool:
+        while not done.stopped:
+            groups = [g for g in (list(islice(rows, per_call)) for _ in range(workers)) if g]
+            if not groups:
+                break
+            for group, answers in zip(groups, pool.map(ask, groups), strict=True):
+                done.calls += 1
+                if answers is None:
+                    done.failed += 1
+                    continue
+                ready += zip(group, answers, strict=True)
+                done.answered += len(group)
+            if len(ready) >= flush:
+                save(ready)
+                ready = []
+            done.stopped = "failures" if should_stop(done.failed, done.calls) else "cancelled" if cancelled() else ""
+    if ready:
+        save(ready)
+    return done
+
+
+def enrich_pass(index: DataFrame, client: Callable[[str, list[str]], list[str | None]], model: str, prompts: dict[str, str], save: Callable[[DataFrame], None], cap: int = 1000, **how) -> Pass:
+    """As enrich, row by row under run_calls: save gets tables of notes as they are answered, to be kept by write_notes."""
+    todo, spark = _enrichable(index, model, prompts, cap), index.sparkSession
+
+    def call(group: list[dict]) -> list[str | None]:
+        out: dict[int, str | None] = {}
+        for table in sorted({r["src_table"] for r in group}):
+            own = [i for i, r in enumerate(group) if r["src_table"] == table]
+            out |= dict(zip(own, client(prompts[table], [group[i]["source_text"] for i in own]), strict=False))
+        return [out.get(i) for i in range(len(group))]
+
+    def keep(pairs) -> None:
+        notes = spark.createDataFrame([(r["src_table"], r["record_id"], a or "", r["_key"]) for r, a in pairs], "src_table string, record_id string, note string, enrich_key string")
+        save(_noted(notes))
+
+    return run_calls((r.asDict() for r in todo.toLocalIterator()), call, keep, **how)
+
+
 def pass_estimate(index: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
     """Rows without a current vector, and their average text size, by table."""
     need = changes.needing_vectors(index, vectors, key)
@@ -138,11 +233,25 @@ def cost(rows: Column, chars: Column, price_in: float, overhead: int, tokens_out
     return F.round((rows * (chars / 4 + overhead) * price_in + rows * tokens_out * price_out) / 1e6, 2)
 
 
-def coverage(index: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
-    """Rows, enriched and embedded of each table; embedded is no more than rows."""
+def coverage(index: DataFrame, vectors: DataFrame, key: str, totals: bool = False) -> DataFrame:
+    """Rows, enriched and embedded of each table; embedded is no more than rows. totals adds a row of sums, its table null."""
     rows = index.groupBy("src_table").agg(F.count(F.lit(1)).alias("rows"), F.count("enrich_key").alias("enriched"))
     vec = vectors.where(F.col("vec_key") == key).groupBy("src_table").agg(F.count(F.lit(1)).alias("n"))
-    return rows.join(vec, "src_table", "left").select("src_table", "rows", "enriched", F.least("rows", F.coalesce("n", F.lit(0))).alias("embedded"))
+    out = rows.join(vec, "src_table", "left").select("src_table", "rows", "enriched", F.least("rows", F.coalesce("n", F.lit(0))).alias("embedded"))
+    if not totals:
+        return out
+    sums = out.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("rows", "enriched", "embedded")))
+    return out.unionByName(sums.select(F.lit(None).cast("string").alias("src_table"), "*"))
+
+
+def priced(estimate: DataFrame, held: DataFrame, models: dict[str, float], model: str, overhead: int = 8) -> DataFrame:
+    """The estimate of a pass (src_table, rows, chars) beside what each table already holds (src_table, embedded), with
+    its price by the model's price for a million tokens; null where the model has none."""
+    price = models.get(model)
+    money = cost(F.col("rows"), F.col("chars"), float(price), overhead) if price is not None else F.lit(None).cast("double")
+    both = held.join(estimate, "src_table", "full")
+    both = both.select("src_table", F.coalesce("embedded", F.lit(0)).alias("held"), F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("chars", F.lit(0.0)).alias("chars"))
+    return both.withColumn("cost", money)
 
 
 class Cached:

@@ -8,16 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-MAX_IDS = 500
-
-
 def events(raw: DataFrame) -> DataFrame:
-    """(table, id, deleted) of change messages: {"tables": {t: {changed, deleted}}} or {"table", "ids", "deleted"}; MAX_IDS of each list."""
+    """(table, id, deleted) of change messages: {"tables": {t: {changed, deleted}}} or {"table", "ids", "deleted"}; every id of them."""
     shape = "tables map<string,struct<changed:array<string>,deleted:array<string>>>, table string, ids array<string>, deleted array<string>"
     m = raw.select(F.from_json("value", shape).alias("m"))
     flat = F.array(F.struct(F.col("m.table").alias("key"), F.struct(F.col("m.ids").alias("changed"), F.col("m.deleted").alias("deleted")).alias("value")))
     t = m.select(F.explode(F.coalesce(F.when(F.col("m.tables").isNotNull(), F.map_entries("m.tables")), flat)).alias("t"))
-    ids = lambda c, gone: F.transform(F.slice(F.coalesce(c, F.array().cast("array<string>")), 1, MAX_IDS), lambda i: F.struct(i.alias("id"), F.lit(gone).alias("deleted")))
+    ids = lambda c, gone: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda i: F.struct(i.alias("id"), F.lit(gone).alias("deleted")))
     both = F.concat(ids(F.col("t.value.changed"), False), ids(F.col("t.value.deleted"), True))
     return t.select(F.col("t.key").alias("table"), F.explode(both).alias("e")).where("table is not null").select("table", "e.id", "e.deleted")
 
