@@ -49,6 +49,18 @@ def add_missing(df: DataFrame, schema) -> DataFrame:
     return df.select(*(F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema))
 
 
+def fill_keys(index: DataFrame) -> DataFrame:
+    """index with a document key where it has none."""
+    return index.withColumn("doc_key", F.coalesce("doc_key", F.concat_ws("|", "src_table", "record_id")))
+
+
+def fit_vectors(vectors: DataFrame, dims: int) -> DataFrame:
+    """The vectors, if they have so many dimensions (8 to 4096): a table of other ones is made anew, empty."""
+    dims = min(max(dims, 8), 4096)
+    one = vectors.where(F.col("vec").isNotNull()).select(F.size("vec")).first()
+    return vectors if one is None or one[0] == dims else vectors.limit(0)
+
+
 def stale(c: Column, current: str) -> Column:
     return ~c.eqNullSafe(F.lit(current))
 

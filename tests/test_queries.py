@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from quarry import queries
+from quarry import queries, rules
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,12 +26,15 @@ def plain(df: pd.DataFrame) -> list:
     return sorted(tuple(value(x) for x in r) for r in df.itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+QUERIES, ORACLES = queries.QUERIES | rules.QUERIES, queries.ORACLES | rules.ORACLES
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    df = queries.QUERIES[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     got = df.toPandas()
-    if name in queries.ORACLES:
-        want = duck.execute(queries.ORACLES[name]).df()
+    if name in ORACLES:
+        want = duck.execute(ORACLES[name]).df()
         assert sorted(got.columns) == sorted(want.columns)
         assert plain(got) == plain(want)
 

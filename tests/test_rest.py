@@ -184,3 +184,66 @@ def test_deletes_manifests_and_names(spark):
     assert {t: label for t, (_, label) in first.items()} == {"T_people": "People", "T_b": "T B"}
     assert stages.name_tables({"T_people": ["A"]}, first, lambda todo: 1 / 0) == {"T_people": first["T_people"]}
     assert stages.name_tables({"T_people": ["c"]}, first, lambda todo: 1 / 0)["T_people"][1] == "T People"
+
+
+def test_passes_stop_and_keep_progress():
+    rows = [{"i": i} for i in range(100)]
+    saved = []
+    done = stages.run_calls(iter(rows), lambda g: [r["i"] for r in g], saved.extend, per_call=7, workers=3, flush=20)
+    assert (done.calls, done.failed, done.answered, done.stopped) == (15, 0, 100, "") and [a for _, a in saved] == list(range(100))
+    calls = []
+
+    def dead(group):
+        calls.append(group)
+        raise OSError("connect timeout")
+
+    done = stages.run_calls(iter(rows), dead, saved.extend, per_call=1, workers=4, tries=2)
+    assert done.stopped == "failures" and done.calls == 8 and len(calls) == 16  # not a call for each row
+    calls.clear()
+
+    def refused(group):
+        calls.append(group)
+        raise OSError("quota exceeded")
+
+    assert stages.run_calls(iter(rows), refused, saved.extend, per_call=1, workers=4).stopped == "failures" and len(calls) == 8  # never tried again
+    kept = []
+    done = stages.run_calls(iter(rows), lambda g: [1] * (len(g) - 1), kept.extend, per_call=5, workers=2, flush=1, cancelled=lambda: len(kept) >= 20)
+    assert done.stopped == "cancelled" and len(kept) == 20 and sum(a is None for _, a in kept) == 4
+
+
+def test_catalog_keeps_tables_whole(spark, tmp_path):
+    cat = tables.Catalog(spark, str(tmp_path / "cat"))
+    assert cat.names() == []
+    cat.replace("t", spark.range(3))
+    with pytest.raises(Exception, match="boom"):
+        cat.replace("t", spark.range(5).select(F.raise_error(F.lit("boom")).alias("id")))
+    assert cat.names() == ["t"] and cat.table("t").count() == 3  # a failed load leaves the table as it was
+    assert cat.replace("t", cat.table("t").where("id > 0")).count() == 2 and cat.columns() == [("t", "id", 1, "bigint")]
+    with pytest.raises(KeyError):
+        cat.table("u")
+
+
+def test_model_stages_of_the_engine(spark, tmp_path):
+    from quarry.engine import Engine
+
+    base = spark.createDataFrame([("t", str(i), f'{{"n": "red {w}"}}', f"n: red {w}", f" red {w} ", f" red {w} ") for i, w in enumerate(("ball", "car", "hat"))] + [("u", "9", "{}", "n: blue", " blue ", " blue ")],
+                                 "src_table string, record_id string, display string, source_text string, search_text string, title_text string")
+    idx = changes.add_missing(base, index.SCHEMA)
+    plain = Engine(idx, stages=Stages(fuzzy=False))
+    ids = lambda df: [r.record_id for r in df.collect()]
+    assert ids(plain.search("red")) == ["0", "2", "1"] or len(ids(plain.search("red"))) == 3
+    assert [r.best for r in plain.search("red car").collect()] == [True] and not any(r.best for r in plain.search("red").collect())
+    asked = []
+
+    def understander(q, names):
+        asked.append((q, names))
+        return {"query": "red hat", "tables": ["t", "nowhere"], "reading": "a hat"}
+
+    smart = Engine(idx, stages=Stages(fuzzy=False, understand=True, rerank=True), understander=understander, reranker=lambda q, shown: (["t|1", "t|7"], 0.9))
+    assert ids(smart.search("the hat that is red")) == ["2"] and ids(smart.search("the hat that is red")) == ["2"] and asked == [("the hat that is red", ["t", "u"])]
+    order = ids(Engine(idx, stages=Stages(fuzzy=False, rerank=True), reranker=lambda q, shown: (["t|1", "t|7"], 0.9)).search("red"))
+    assert order[0] == "1" and len(order) == 3
+    broken = Engine(idx, stages=Stages(fuzzy=False, understand=True, rerank=True), understander=lambda q, n: 1 / 0, reranker=lambda q, s: 1 / 0)
+    assert len(ids(broken.search("red"))) == 3
+    plain.log(str(tmp_path / "log"), "red", plain.search("red"))
+    assert spark.read.json(str(tmp_path / "log")).first().results == 3
