@@ -17,7 +17,9 @@ from pyspark.sql.window import Window
 
 from quarry.llm._common import ceil_div, materialise
 
-_BLOCK = "block long, dim int, n int, bound double, ids binary, data binary"
+_BLOCK = "block long, dim int, n int, bound double, ids binary, kind string, data binary"
+#: Queries of a tile that are multiplied with a shard at a time.
+STEP = 256
 _HITS = "query_key string, query_id long, shard int, vec_id long, score long"
 _HITS_ARROW = pa.schema([("query_key", pa.string()), ("query_id", pa.int64()), ("shard", pa.int32()), ("vec_id", pa.int64()), ("score", pa.int64())])
 _LONG = (-(2**63), 2**63 - 1)
@@ -50,10 +52,12 @@ def _pack(batches, id_col: str, vec_col: str, scale: float, rows: int):
     def block(dim, ids, m):
         nonlocal made
         made += 1
-        return {"block": (part << 32) + made, "dim": dim, "n": len(ids), "bound": float(np.abs(m).max(initial=0)), "ids": ids.astype("<i8").tobytes(), "data": m.astype("<f8").tobytes()}
+        bound = float(np.abs(m).max(initial=0))
+        kind = "<i2" if bound < 2**15 else "<i4" if bound < 2**31 else "<f8"
+        return {"block": (part << 32) + made, "dim": dim, "n": len(ids), "bound": bound, "ids": ids.astype("<i8").tobytes(), "kind": kind, "data": m.astype(kind).tobytes()}
 
     def out(found):
-        return pa.RecordBatch.from_pylist(found, schema=pa.schema([("block", pa.int64()), ("dim", pa.int32()), ("n", pa.int32()), ("bound", pa.float64()), ("ids", pa.binary()), ("data", pa.binary())]))
+        return pa.RecordBatch.from_pylist(found, schema=pa.schema([("block", pa.int64()), ("dim", pa.int32()), ("n", pa.int32()), ("bound", pa.float64()), ("ids", pa.binary()), ("kind", pa.string()), ("data", pa.binary())]))
 
     for batch in batches:
         ids = batch.column(id_col)
@@ -72,14 +76,13 @@ def _pack(batches, id_col: str, vec_col: str, scale: float, rows: int):
             yield out([block(dim, i, x)])
 
 
-def _product(q: np.ndarray, c: np.ndarray, bound: float) -> np.ndarray:
-    """Exact integer scores: the narrowest type that holds every partial sum."""
-    if bound < 2**24:
-        return (q.astype(np.float32) @ c.astype(np.float32).T).astype(np.int64)
-    if bound < 2**53:
-        return (q @ c.T).astype(np.int64)
-    exact = np.vectorize(int, otypes=[object])
-    return exact(q) @ exact(c).T
+def _exact(m: np.ndarray, bound: float) -> np.ndarray:
+    """A matrix in the narrowest type whose products are exact when no partial sum is over bound."""
+    return m.astype(np.float32 if bound < 2**24 else np.float64) if bound < 2**53 else np.vectorize(int, otypes=[object])(m)
+
+
+def _vectors(block: dict) -> np.ndarray:
+    return np.frombuffer(block["data"], block["kind"]).reshape(block["n"], block["dim"])
 
 
 def _best(scores: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int):
@@ -102,7 +105,7 @@ def _best(scores: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int):
     return np.array(rows, dtype=int), np.array(cols, dtype=int)
 
 
-def _cell(queries: pa.Table, shard: pa.Table, k: int, tile: int) -> pa.Table:
+def _cell(queries: pa.Table, shard: pa.Table, k: int) -> pa.Table:
     """The k best rows of this shard for each query of this tile."""
     found = []
     number = shard.column("shard")[0].as_py() if shard.num_rows else 0
@@ -113,15 +116,15 @@ def _cell(queries: pa.Table, shard: pa.Table, k: int, tile: int) -> pa.Table:
             continue
         dim = q["dim"]
         ids = np.concatenate([np.frombuffer(b["ids"], "<i8") for b in same])
-        c = np.concatenate([np.frombuffer(b["data"], "<f8").reshape(-1, dim) if dim else np.zeros((b["n"], 0)) for b in same])
-        order = np.argsort(ids, kind="stable")
-        ids, c = ids[order], c[order]
         bound = q["bound"] * max(b["bound"] for b in same) * max(dim, 1)
+        order = np.argsort(ids, kind="stable")
+        ids, c = ids[order], _exact(np.concatenate([_vectors(b) for b in same])[order], bound).T
         qids = np.frombuffer(q["ids"], "<i8")
-        m = np.frombuffer(q["data"], "<f8").reshape(-1, dim) if dim else np.zeros((q["n"], 0))
-        for lo in range(0, len(qids), tile):
-            part = qids[lo : lo + tile]
-            scores = _product(m[lo : lo + tile], c, bound)
+        m = _exact(_vectors(q), bound)
+        for lo in range(0, len(qids), STEP):
+            part = qids[lo : lo + STEP]
+            scores = m[lo : lo + STEP] @ c
+            scores = scores if scores.dtype == object else scores.astype(np.int64)
             rows, cols = _best(scores, part[:, None] == ids[None, :], ids, k)
             got = scores[rows, cols]
             if got.dtype == object:
@@ -135,7 +138,7 @@ def _cell(queries: pa.Table, shard: pa.Table, k: int, tile: int) -> pa.Table:
 
 def top_k(
     queries: DataFrame, candidates: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding",
-    scale: float = 64.0, tile_rows: int = 512, shard_rows: int = 8192, fan: int = 16,
+    scale: float = 64.0, tile_rows: int = 8192, shard_rows: int = 8192, fan: int = 16,
 ) -> DataFrame:
     """Each query row's k candidates of highest integer inner product, without its own id.
 
@@ -154,7 +157,7 @@ def top_k(
     deal = lambda n: F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")
     q = q.withColumn("tile", deal(tiles)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     c = c.withColumn("shard", deal(shards)).withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
-    hits = q.groupBy("tile", "shard").cogroup(c.groupBy("tile", "shard")).applyInArrow(lambda a, b: _cell(a, b, k, tile_rows), _HITS)
+    hits = q.groupBy("tile", "shard").cogroup(c.groupBy("tile", "shard")).applyInArrow(lambda a, b: _cell(a, b, k), _HITS)
     order = [F.col("score").desc(), F.col("vec_id")]
     while shards > fan:
         hits = hits.withColumn("shard", F.expr(f"shard div {fan}").cast("int"))
