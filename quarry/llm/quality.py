@@ -187,15 +187,15 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 6000, label_col:
 
     max_train is the documented bound of the sample; the rows are joined to their texts by
     a broadcast of it. Labels that are null or neither 0 nor 1, and rows without an id, are
-    left out; an id with several labels takes the larger. No labelled rows give the machine
-    that scores 0.5.
+    left out; an id with several labels takes the larger, and one with several texts the least
+    of them. No labelled rows give the machine that scores 0.5.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     known = known.groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
     known = known.orderBy(F.md5(F.col("_id").cast("string").cast("binary")), "_id").limit(max_train)
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    rows = texts.join(F.broadcast(known), "_id").select("_id", "_label", "_text")
-    found = rows.mapInArrow(_bags, "id long, label int, features array<int>, values array<float>").limit(2 * max_train).toArrow()
+    rows = texts.join(F.broadcast(known), "_id").groupBy("_id", "_label").agg(F.min(F.coalesce("_text", F.lit(""))).alias("_text"))
+    found = rows.mapInArrow(_bags, "id long, label int, features array<int>, values array<float>").toArrow()
     found = found.sort_by("id")  # so that the model doesn't depend on the order in which tasks end
     bags = [(np.array(f.as_py(), dtype=np.int64), np.array(v.as_py(), dtype=np.float64)) for f, v in zip(found.column("features"), found.column("values"), strict=True)]
     return fit(bags, found.column("label").to_numpy().astype(np.float64), **how)
