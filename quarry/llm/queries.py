@@ -149,4 +149,74 @@ ORACLES = {
             (list_sum(list_transform(had, lambda h, k: least((h + c * ws[k]) * 64, ns[k]))) + n % 64)::BIGINT AS position
         FROM b JOIN turns USING (i, turn), cfg
     """,
+    "op3_jaccard_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+        ), s AS (
+            SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS sh FROM w
+        ), e AS (
+            SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s
+        ), p AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, a.n + b.n AS n, count(*) AS shared FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+        ), l AS (
+            SELECT x, y FROM p WHERE 100 * shared >= 75 * (n - shared)
+        ), reach AS (
+            SELECT doc_id AS x, doc_id AS y FROM s UNION SELECT reach.x, l.y FROM reach JOIN l ON reach.y = l.x
+        )
+        SELECT doc_id, CAST(any_value(len(sh)) AS BIGINT) AS n_shingles, min(y) AS component_id FROM s JOIN reach ON x = doc_id GROUP BY doc_id
+    """,
+    "op4_substrings": r"""
+        WITH w AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+        ), p AS (
+            SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 18, 1))) AS i FROM w
+        ), q AS (
+            SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(ws[i:i + 19], ' ') ORDER BY doc_id, i) AS turn FROM p
+        ), gone AS (
+            SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM q WHERE turn > 1
+        ), word AS (
+            SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w
+        ), kept AS (
+            SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS text FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+        )
+        SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+    """,
+    "op7_lattice": r"""
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+        ), good AS (
+            SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0
+        ), l AS (
+            SELECT a.vec_id AS x, b.vec_id AS y FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+        ), reach AS (
+            SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT reach.x, l.y FROM reach JOIN l ON reach.y = l.x
+        ), n AS (
+            SELECT x, count(*) AS n FROM l GROUP BY x
+        ), c AS (
+            SELECT x, min(y) AS c FROM reach GROUP BY x
+        )
+        SELECT vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.c AS component_id, c.c = vec_id AS kept FROM v JOIN c ON c.x = vec_id LEFT JOIN n ON n.x = vec_id
+    """,
+    "op9_sharding": r"""
+        WITH tab AS (
+            SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab
+        ), r AS (
+            SELECT doc_id, coalesce(text, '') AS text, strlen(coalesce(text, '')) + 16 AS size, md5(coalesce(text, '')) AS t, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS i FROM documents
+        ), crc AS (
+            SELECT doc_id, t, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST('0x' || x AS BIGINT))), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) AS crc FROM r, tab
+        ), total AS (
+            SELECT CAST(sum(size) AS BIGINT) AS total FROM r
+        ), k AS (
+            SELECT r.*, CASE WHEN sum(size) OVER (PARTITION BY t) <= 0.1 * total / 40 THEN t ELSE t || i END AS unit FROM r, total
+        ), u AS (
+            SELECT unit, CAST(sum(sum(size)) OVER (ORDER BY unit) AS BIGINT) AS b, CAST(sum(size) AS BIGINT) AS n FROM k GROUP BY unit
+        ), cut AS (
+            SELECT s, target, arg_min(unit, b) AS unit, min(b) AS b, arg_min(n, b) AS n FROM (SELECT s, (s * total + 39) // 40 AS target FROM total, range(1, 40) t(s)) JOIN u ON u.b >= target GROUP BY s, target
+        ), placed AS (
+            SELECT k.*, (SELECT count(*) FROM cut WHERE cut.unit < k.unit OR cut.unit = k.unit AND cut.b - target >= target - (cut.b - cut.n)) AS shard FROM k
+        )
+        SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard,
+            CAST(row_number() OVER (PARTITION BY shard ORDER BY md5(t || i), doc_id) - 1 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+        FROM placed JOIN crc USING (doc_id, t)
+    """,
 }
