@@ -1,11 +1,11 @@
 """Replacing personal data by surrogates: keyed, of the same type and format, distinct.
 
 Entities (e-mail and IP addresses, phone, card, bank and social security numbers, secrets,
-and names after a title) are found by patterns. An entity's surrogate depends on the key
+and names after a title, then wherever the text goes on to mention them) are found by patterns. An entity's surrogate depends on the key
 and its normal form alone, so that it is the same wherever the entity stands, however
 written. Digits, letters and address parts are encrypted in their own format by a keyed
 Feistel permutation, so distinct entities of a format have distinct surrogates; names are
-drawn by script and gender. What is left of collisions, of surrogates
+drawn by script and gender, which is that of any title that the name bears in the corpus. What is left of collisions, of surrogates
 with each other and with entities of the corpus, is found by one aggregation over all
 distinct entities, and the entities concerned take another draw.
 """
@@ -14,9 +14,12 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,10 +34,12 @@ GIVEN = {
     ("cyrillic", "m"): "Антон Борис Виктор Глеб Денис Егор Иван Кирилл Лев Максим".split(),
     ("cyrillic", "f"): "Анна Вера Галина Дарья Елена Жанна Ирина Ксения Лидия Мария".split(),
     ("greek", "m"): "Αλέξης Γιώργος Δημήτρης Κώστας Λεωνίδας Μάριος Νίκος Πέτρος Σπύρος Φώτης".split(),
+    ("han", "m"): "健太 大輔 翔太 拓也 直樹 剛 誠 亮".split(),
+    ("han", "f"): "花子 美咲 愛子 由美 恵子 陽子 玲奈 幸子".split(),
     ("greek", "f"): "Άννα Βάσω Δήμητρα Ελένη Ζωή Ιωάννα Κατερίνα Μαρία Σοφία Χριστίνα".split(),
 }
 #: Consonants and vowels of the syllables that make family names, by script.
-SYLLABLES = {"latin": ("bdfgklmnprstvz", "aeiou"), "cyrillic": ("бвгдзклмнпрстф", "аеиоу"), "greek": ("βγδζκλμνπρστφχ", "αεηιο")}
+SYLLABLES = {"latin": ("bdfgklmnprstvz", "aeiou"), "cyrillic": ("бвгдзклмнпрстф", "аеиоу"), "greek": ("βγδζκλμνπρστφχ", "αεηιο"), "han": ("田中山木村林本井", "川野原口島崎谷沢")}
 TITLES = {
     "m": "Mr|Mister|Sir|Herrn|Herr|Monsieur|M|Señor|Sr|Don|Κύριος|Господин".split("|"),
     "f": "Mrs|Ms|Miss|Madam|Frau|Madame|Mme|Mlle|Señora|Señorita|Sra|Srta|Doña|Κυρία|Госпожа".split("|"),
@@ -42,7 +47,7 @@ TITLES = {
 }
 _GENDER = {t: g for g, ts in TITLES.items() for t in ts}
 _TITLE = "|".join(sorted(_GENDER, key=lambda t: (-len(t), t)))
-_CAP = r"[A-ZÀ-ÖØ-ÞΑ-ΩΆΈ-ΏА-ЯЁ][^\W\d_]+(?:[-'’][^\W\d_]+)*"
+_CAP = r"(?:\p{Lu}[^\W\d_]+(?:[-'’][^\W\d_]+)*|[\p{Han}\p{Hiragana}\p{Katakana}]{1,8})"
 
 #: Kinds of entities in order of precedence, and their patterns; group v is what is replaced.
 PATTERNS = {
@@ -50,28 +55,28 @@ PATTERNS = {
     "key": r"(?<![A-Za-z0-9])(?P<key>AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{16,}|xox[abpr]-[A-Za-z0-9-]{10,}|[0-9a-fA-F]{40,64})(?![A-Za-z0-9])",
     "email": r"(?P<email>(?<![\w.+-])[\w][\w.+-]{0,63}@(?:[\w-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-]))",
     "ip": r"(?<![\w.])(?P<ip>(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d))(?!\.?\w)",
-    "ip6": r"(?<![\w:])(?P<ip6>(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4})(?![\w:])",
+    "ip6": r"(?<![\w:])(?P<ip6>(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4})(?![\w:])",
     "iban": r"(?<![A-Za-z0-9])(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
     "ssn": r"(?<![\w-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])",
     "card": r"(?<![\w.+-])(?P<card>\d(?:[ -]?\d){12,18})(?![\w-])",
-    "phone": r"(?<![\w.])(?P<phone>\+\d{1,3}(?: \| |[ .-])?(?:\(\d{1,4}\)(?: \| |[ .-])?)?\d{1,4}(?:(?: \| |[ .-])?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)",
+    "phone": r"(?<![\w.])(?P<phone>\+\d{1,3}(?: \| |[ .-])?(?:\(\d{1,4}\)(?: \| |[ .-])?)?\d{1,4}(?:(?: \| |[ .-])?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}|(?:\(0\d{1,4}\)|0\d{1,4})[ /-]\d{2,4}(?:[ -]\d{2,4}){1,3}(?![ .-]?\d))(?!\w)",
     "name": rf"(?<!\w)(?P<title>{_TITLE})\.? (?P<name>{_CAP}(?: {_CAP}){{0,2}})",
 }
-_FINDERS = {k: re.compile(p) for k, p in PATTERNS.items()}
+_FINDERS = {k: (regex if k == "name" else re).compile(p) for k, p in PATTERNS.items()}
 _SECRET_WORDS = ("token", "secret", "passw", "pwd", "api", "access", "private", "auth")
 _KEY_HEADS = ("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "xox")
 _TITLE_ENDS = tuple(t + end for t in _GENDER for end in (" ", "."))
 #: For texts with digits: where this finds nothing, neither does the pattern.
 _HINTS = {
-    "key": re.compile(r"[0-9a-fA-F]{40}"), "ip": re.compile(r"\d\.\d{1,3}\.\d"), "ip6": re.compile(r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]"), "iban": re.compile(r"[A-Z]{2}\d{2}"),
-    "ssn": re.compile(r"\d-\d{2}-\d"), "card": re.compile(r"\d(?:[ -]?\d){12}"), "phone": re.compile(r"\+\d|\d\) ?\d|\d{3}[.-]\d{3}[.-]\d{4}"),
+    "key": re.compile(r"[0-9a-fA-F]{40}"), "ip": re.compile(r"\d\.\d{1,3}\.\d"), "ip6": re.compile(r"[0-9A-Fa-f]:[0-9A-Fa-f]{0,4}:[0-9A-Fa-f]"), "iban": re.compile(r"[A-Z]{2}\d{2}"),
+    "ssn": re.compile(r"\d-\d{2}-\d"), "card": re.compile(r"\d(?:[ -]?\d){12}"), "phone": re.compile(r"\+\d|\d\) ?\d|\d{3}[.-]\d{3}[.-]\d{4}|(?<![\w.])\(?0\d{1,4}\)?[ /-]\d"),
 }
 
 
 def _kinds(text: str):
     """The kinds of which the text may hold an entity, by quick looks."""
     digits = any(d in text for d in _DIGITS)
-    if digits:
+    if digits or any(w in text for w in ("assw", "ASSW", "pwd", "PWD")):
         low = text.lower()
         if any(w in low for w in _SECRET_WORDS):
             yield "secret"
@@ -87,9 +92,55 @@ def _kinds(text: str):
         yield "name"
 
 
+def _whole(kind: str, m) -> bool:
+    """What a pattern alone can't tell of a match."""
+    value = m[kind]
+    if kind == "secret":  # a password may be words alone, if it is long
+        return bool(re.search(r"\d", value)) or len(value) >= 12 and bool(re.match(r"(?i)pass|pwd", m[0]))
+    if kind == "ip6":
+        groups = [g for g in value.split(":") if g]
+        try:
+            ipaddress.IPv6Address(value)
+        except ValueError:
+            return False
+        return re.search(r"\d", value) is not None and (len(groups) > 2 or any(len(g) == 4 for g in groups))
+    if kind == "phone" and value.lstrip("(").startswith("0"):
+        return 9 <= sum(c.isdigit() for c in value) <= 12
+    return True
+
+
+def _later(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """Further mentions of the names found: the whole name, or its last word, from the first mention on. A last word that
+    several names share is the latest one's. The context of these is title|name."""
+    names = sorted((s, e, c) for s, e, k, c in found if k == "name")
+    if not names:
+        return []
+    who: dict[str, list[tuple[int, str]]] = {}
+    for s, e, title in names:
+        full = " ".join(text[s:e].split())
+        for word in {full, full.split()[-1]}:
+            if len(word) > 2 or not word.isascii():
+                who.setdefault(word, []).append((s, f"{title}|{full}"))
+    if not who:
+        return []
+    taken = sorted((s, e) for s, e, _, _ in found)
+    starts = [s for s, _ in taken]
+    out, words = [], "|".join(map(re.escape, sorted(who, key=len, reverse=True)))
+    for m in re.compile(rf"(?<!\w)(?:{words})(?!\w)").finditer(text, names[0][1]):
+        i = bisect_right(starts, m.start()) - 1
+        if i >= 0 and taken[i][1] > m.start() or i + 1 < len(taken) and taken[i + 1][0] < m.end():
+            continue
+        own = who[m[0]]
+        at = bisect_left(own, (m.start(), "")) - 1
+        if at >= 0:
+            out.append((*m.span(), "name", own[at][1]))
+    return out
+
+
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, context) of the entities of a text, in order, without overlap; of two
-    that overlap, the kind that stands first in PATTERNS stays. context is a name's title."""
+    that overlap, the kind that stands first in PATTERNS stays. context is a name's title, for a later mention
+    title|name."""
     found: list[tuple[int, int, str, str]] = []
     for kind in _kinds(text):
         for m in _FINDERS[kind].finditer(text):
@@ -100,10 +151,10 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             start, end = m.span(kind)
             if kind == "email":
                 end = start + len(text[start:end].rstrip("."))
-            if kind == "secret" and not re.search(r"\d", m[kind]):
+            if not _whole(kind, m):
                 continue
             found.append((start, end, kind, m["title"] if kind == "name" else ""))
-    return sorted(found)
+    return sorted(found + _later(text, found))
 
 
 def normal(kind: str, value: str, context: str = "") -> str:
@@ -112,13 +163,21 @@ def normal(kind: str, value: str, context: str = "") -> str:
         return re.sub(r"\D", "", value)
     if kind == "iban":
         return value.replace(" ", "").upper()
-    if kind in ("email", "ip6") or re.fullmatch(r"[0-9a-fA-F]+", value):
-        return value.lower()
+    if kind == "ip6":
+        return ipaddress.IPv6Address(value).exploded
     if kind == "name":
-        return f"{_GENDER.get(context, '')}|{' '.join(value.split())}"
+        return " ".join((context.partition("|")[2] or value).split())
+    if kind == "email" or re.fullmatch(r"[0-9a-fA-F]+", value):
+        return value.lower()
     return value
 
 
+def gender_of(key: bytes, entity: str, context: str) -> tuple[str, bool]:
+    """The gender by a mention's title, and whether the title has one; else a keyed choice."""
+    known = _GENDER.get(context.partition("|")[0], "")
+    return known or "mf"[_prf(key, "gender", entity) % 2], bool(known)
+
+
 def _prf(key: bytes, *parts: object) -> int:
     return int.from_bytes(hmac.new(key, "\x1f".join(map(str, parts)).encode(), hashlib.sha256).digest()[:16], "big")
 
@@ -170,13 +229,15 @@ def _poured(digits: str, into: str) -> str:
 
 
 def _script(word: str) -> str:
+    if regex.match(r"[\p{Han}\p{Hiragana}\p{Katakana}]", word):
+        return "han"
     return "cyrillic" if "Ѐ" <= word[0] <= "ӿ" else "greek" if "Ͱ" <= word[0] <= "Ͽ" or "ἀ" <= word[0] <= "῿" else "latin"
 
 
-def surrogate(key: bytes, kind: str, entity: str, value: str, draw: int = 0) -> str:
+def surrogate(key: bytes, kind: str, entity: str, value: str, draw: int = 0, gender: str = "") -> str:
     """The replacement of a mention: entity is its normal form, value how it is written.
 
-    draw counts how often the entity had to draw again.
+    draw counts how often the entity had to draw again; gender is that of a name.
     """
     tweak = f"{kind}|{draw}"
     if kind == "card":
@@ -194,8 +255,12 @@ def surrogate(key: bytes, kind: str, entity: str, value: str, draw: int = 0) ->
         octets = list(map(int, entity.split(".")))
         return ".".join(map(str, permute(key, tweak, octets, [256] * 4)))
     if kind == "ip6":
-        groups = permute(key, tweak, [int(g, 16) for g in entity.split(":")], [1 << 16] * 8)
+        groups = [int(g, 16) for g in entity.split(":")]
+        some = [i for i, g in enumerate(groups) if g]  # zeros stay, and with them the short form
+        for i, g in zip(some, permute(key, f"{tweak}|{some}", [groups[i] - 1 for i in some], [(1 << 16) - 1] * len(some)), strict=True):
+            groups[i] = g + 1
         text = ":".join(f"{g:x}" for g in groups)
+        text = str(ipaddress.IPv6Address(text)) if "::" in value else text
         return text.upper() if value.upper() == value else text
     if kind == "email":
         local, _, domain = entity.rpartition("@")
@@ -214,12 +279,12 @@ def surrogate(key: bytes, kind: str, entity: str, value: str, draw: int = 0) ->
         lead = re.match(r"AKIA|gh[pousr]_|sk-|xox[abpr]-|", value)[0]
         return lead + _shaped(key, f"{tweak}|{lead}", value[len(lead) :])
     if kind == "name":
-        gender, _, full = entity.partition("|")
-        words = full.split()
+        words = entity.split()
         script = _script(words[0])
-        gender = gender or "mf"[_prf(key, tweak, "gender", full) % 2]
-        # A family name alone draws as it does with a given name before it.
-        given = [_given(key, f"{tweak}|{gender}", w, script, gender) for w in words[:-1]]
+        gender = gender or gender_of(key, entity, "")[0]
+        # A family name alone draws as it does with a given name before it; a later mention may be the family name.
+        part = words[-1] == value != entity
+        given = [_given(key, f"{tweak}|{gender}", w, script, gender) for w in words[:-1]] if not part else []
         made = " ".join([*given, _syllables(key, tweak, words[-1], script, 6)])
         return made.upper() if value.isupper() else made
     raise ValueError(kind)
@@ -249,27 +314,29 @@ def _email_part(key: bytes, tweak: str, part: str) -> str:
     return "".join("abcdefghijklmnopqrstuvwxyz"[f // 26**i % 26] for i in range(max(8, len(part))))
 
 
-_FORMS = "kind string, entity string, value string, context string"
+_FORMS = "kind string, entity string, value string, own string, titled boolean"
 
 
-def _forms(batches):
-    """(kind, entity, value, context) of each distinct way in which a batch writes an entity."""
+def _forms(batches, key: bytes):
+    """(kind, entity, value, own, titled) of each distinct way in which a batch writes an entity; own is the gender that a
+    name has by this mention alone, titled whether by a title."""
     for batch in batches:
         seen = set()
         for text in batch.column(0).to_pylist():
             for start, end, kind, context in find(text) if text else ():
-                seen.add((kind, normal(kind, text[start:end], context), text[start:end], context))
-        columns = list(zip(*seen, strict=True)) or [[]] * 4
-        yield pa.record_batch([pa.array(c, pa.string()) for c in columns], names=["kind", "entity", "value", "context"])
+                entity = normal(kind, text[start:end], context)
+                own = gender_of(key, entity, context) if kind == "name" else ("", False)
+                seen.add((kind, entity, entity if kind == "name" else text[start:end], *own))
+        columns = list(zip(*sorted(seen), strict=True)) or [[]] * 5
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, [pa.string()] * 4 + [pa.bool_()], strict=True)], names=["kind", "entity", "value", "own", "titled"])
 
 
 def _made(batches, key: bytes):
-    """Rows of _FORMS and draw with the normal form of their surrogate."""
+    """Rows (kind, entity, value, gender, odd, draw) with the normal form of their surrogate."""
     for batch in batches:
         made = []
-        for kind, entity, value, context, draw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            new = surrogate(key, kind, entity, value, draw)
-            made.append(normal(kind, new, context) if kind != "name" else f"{entity.partition('|')[0]}|{new}")
+        for kind, entity, value, gender, _, draw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            made.append(normal(kind, surrogate(key, kind, entity, value, draw, gender or "")))
         yield batch.append_column("made", pa.array(made, pa.string()))
 
 
@@ -290,7 +357,7 @@ def _replaced(batches, key: bytes, draws: dict | None, text_at: int):
         own = batch.column(batch.num_columns - 1).to_pylist() if draws is None else [None] * batch.num_rows
         batch = batch if draws is not None else batch.select(batch.schema.names[:-1])
         for text, mine in zip(batch.column(text_at).to_pylist(), own, strict=True):
-            again = draws if draws is not None else {(d["kind"], d["entity"]): d["draw"] for d in mine or ()}
+            again = draws if draws is not None else {(d["kind"], d["entity"]): (d["draw"], d["gender"]) for d in mine or ()}
             if text is None:
                 texts.append(None)
                 counts.append(0)
@@ -300,7 +367,8 @@ def _replaced(batches, key: bytes, draws: dict | None, text_at: int):
             for start, end, kind, context in got:
                 value = text[start:end]
                 entity = normal(kind, value, context)
-                out += [text[last:start], surrogate(key, kind, entity, value, again.get((kind, entity), 0))]
+                draw, gender = again.get((kind, entity)) or (0, gender_of(key, entity, context)[0] if kind == "name" else "")
+                out += [text[last:start], surrogate(key, kind, entity, value, draw, gender or "")]
                 last = end
             texts.append("".join([*out, text[last:]]) if got else text)
             counts.append(len(got))
@@ -309,39 +377,44 @@ def _replaced(batches, key: bytes, draws: dict | None, text_at: int):
         yield pa.record_batch([*columns, pa.array(counts, pa.int64()), pa.array(kinds, pa.list_(pa.string()))], names=[*batch.schema.names, "n_entities", "entity_kinds"])
 
 
-#: Entities that draw again, up to which they are broadcast; more are joined to the rows that mention them.
+#: Entities that draw again or have another gender than a mention tells, up to which they are broadcast; more are joined to the rows that mention them.
 MAX_DRAWS = 100_000
 #: Rounds without fewer clashes than ever before, after which there is no use in drawing again.
 STUCK = 8
 
 
 def draws(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
-    """How often entities must draw again for surrogates to be distinct and not themselves entities.
+    """How often entities must draw again for surrogates to be distinct and not themselves entities, and the gender
+    of names that the corpus mentions with different titles: that of a title that has one, of both the female one.
 
-    Rows of kind, entity and draw int, for the exceptions alone. Texts are read once; each
+    Rows of kind, entity, draw int and gender, for the exceptions alone. Texts are read once; each
     round is one aggregation over the distinct entities of the corpus, and rounds go on until
     no surrogate clashes. Of entities with one surrogate the smallest keeps it. Formats are
     permuted, so that only a changed draw can make two of them equal. Where drawing doesn't
     help (a space that is full), there is an error.
     """
     texts = docs.select(F.col(text_col).alias("text")).where("text is not null")
-    state = materialise(texts.mapInArrow(_forms, _FORMS).distinct().withColumn("draw", F.lit(0)))
+    forms = materialise(texts.mapInArrow(lambda it: _forms(it, key), _FORMS).distinct())
+    by_title = F.min(F.when(F.col("titled"), F.col("own")))
+    names = forms.where("kind = 'name'").groupBy("kind", "entity").agg(F.coalesce(by_title, F.min("own")).alias("gender"), (F.min("own") < F.max("own")).alias("odd"))
+    state = forms.select("kind", "entity", "value").distinct().join(names, ["kind", "entity"], "left")
+    state = materialise(state.select("kind", "entity", "value", "gender", F.coalesce("odd", F.lit(False)).alias("odd"), F.lit(0).alias("draw")))
     real = state.select("kind", F.col("entity").alias("made")).distinct().withColumn("real", F.lit(True))
     fewest, stuck = None, 0
     while True:
-        found = materialise(state.mapInArrow(lambda it: _made(it, key), f"{_FORMS}, draw int, made string"))
+        found = materialise(state.mapInArrow(lambda it: _made(it, key), "kind string, entity string, value string, gender string, odd boolean, draw int, made string"))
         taken = found.groupBy("kind", "made").agg(F.min("entity").alias("keeps"), F.max("entity").alias("most")).where("keeps <> most")
         clash = found.join(taken, ["kind", "made"], "left").join(real, ["kind", "made"], "left")
         clash = materialise(clash.where("(keeps is not null and entity <> keeps) or real").select("kind", "entity").distinct().withColumn("more", F.lit(1)))
         n = clash.count()
         if not n:
-            return found.where("draw > 0").select("kind", "entity", "draw").distinct()
+            return found.where("draw > 0 or odd").select("kind", "entity", "draw", "gender").distinct()
         stuck = stuck + 1 if fewest is not None and n >= fewest else 0
         if stuck == STUCK:
             raise ValueError(f"{n} surrogates collide, however often they are drawn")
         fewest = n if fewest is None else min(n, fewest)
         state = found.drop("made").join(clash, ["kind", "entity"], "left").withColumn("draw", F.col("draw") + F.coalesce("more", F.lit(0)))
-        state = state.select("kind", "entity", "value", "context", "draw")
+        state = state.select("kind", "entity", "value", "gender", "odd", "draw")
 
 
 def replace(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
@@ -349,7 +422,9 @@ def replace(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
 
     More columns: n_entities long, entity_kinds array<string> (in text order); input columns
     of those names are replaced. Null texts stay null and empty ones empty. An entity has one
-    surrogate in all rows, so repeated rows stay alike. Texts of any length are taken whole.
+    surrogate in all rows, so repeated rows stay alike, and ties of ids don't matter. No two entities share a
+    surrogate, and none is an entity of the corpus; a space of surrogates that is full is an error. Texts of any
+    length are taken whole.
     docs is read twice, without a shuffle of texts unless over MAX_DRAWS entities draw again.
     """
     docs = docs.drop("n_entities", "entity_kinds")
@@ -358,10 +433,10 @@ def replace(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", n_entities long, entity_kinds array<string>"
     few = again.limit(MAX_DRAWS + 1).collect()
     if len(few) <= MAX_DRAWS:
-        sent = docs.sparkSession.sparkContext.broadcast({(r["kind"], r["entity"]): r["draw"] for r in few})
+        sent = docs.sparkSession.sparkContext.broadcast({(r["kind"], r["entity"]): (r["draw"], r["gender"]) for r in few})
         return docs.mapInArrow(lambda it: _replaced(it, key, sent.value, at), schema)
     rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()))
     texts = rows.select("_row", F.col(text_col).alias("text")).where("text is not null")
     own = texts.mapInArrow(_mentioned, "_row long, kind string, entity string").join(again, ["kind", "entity"])
-    own = own.groupBy("_row").agg(F.collect_list(F.struct("kind", "entity", "draw")).alias("_draws"))
+    own = own.groupBy("_row").agg(F.collect_list(F.struct("kind", "entity", "draw", "gender")).alias("_draws"))
     return rows.join(own, "_row", "left").select(*docs.columns, "_draws").mapInArrow(lambda it: _replaced(it, key, None, at), schema)

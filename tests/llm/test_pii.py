@@ -30,6 +30,12 @@ def test_finds():
         ("Lopez", "name"), ("Ørsted", "name"), ("Иванов", "name"), ("Παπά", "name"),
     ]
     assert [k for *_, k, _ in find("+1 (843) 555-7672 170.106.47.218 and +1 (826) 555-4081 9630123412341234")] == ["phone", "ip", "phone", "card"]
+    more = "Call 020 7946 0958 or (030) 123 4567 from 2001:db8::1 or FE80:0:0:0:1:2:3:4; password: correcthorsebattery; Mr 田中 太郎, Herr Šimek and Dr. Łukasz Nowak. 田中 太郎 left; Nowak said so, Nowakowa didn't."
+    assert [(more[s:e], k) for s, e, k, _ in find(more)] == [
+        ("020 7946 0958", "phone"), ("(030) 123 4567", "phone"), ("2001:db8::1", "ip6"), ("FE80:0:0:0:1:2:3:4", "ip6"), ("correcthorsebattery", "secret"), ("田中 太郎", "name"), ("Šimek", "name"),
+        ("Łukasz Nowak", "name"), ("田中 太郎", "name"), ("Nowak", "name"),
+    ]
+    assert find("at 12:30:45, std::vector a::b, 01 02 2024, the password: required field, and 0.5 0 1 2") == []
     assert find("a plain text of 12 words, 3.14 and 2019, 1,000,000 or 10.5") == []
 
 
@@ -114,3 +120,25 @@ def test_full_space_is_an_error(spark, monkeypatch):
     monkeypatch.setattr(pii, "SYLLABLES", {**pii.SYLLABLES, "latin": ("b", "a")})
     with pytest.raises(ValueError, match="collide"):
         replace(crowd(spark)[1], KEY)
+
+
+def test_names_keep_one_surrogate(spark):
+    women = ["Anna Kowal", "Maria Lopez", "Ruth Adler", "Ines Prado", "Vera Lind"]
+    rows = [(i, f"{t} {n} spoke. Later {n.split()[1]} left, and {n} wrote.") for n in women for i, t in enumerate(("Mrs", "Dr.", "Prof", "Ms"))] + [(9, "Dr Kim Sol spoke. Sol left.")]
+    got = replace(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), KEY).collect()
+    by_text = {}
+    for r in got:
+        name = re.match(r"(?:Mrs|Ms|Dr\.?|Prof) (\S+ \S+) spoke\. Later (\S+) left, and (\S+ \S+) wrote\.", r.text)
+        if name:
+            assert name[1] == name[3] and name[1].split()[1] == name[2] and r.n_entities == 3
+            by_text.setdefault(name[1], 0)
+            by_text[name[1]] += 1
+            assert name[1].split("-")[0] in pii.GIVEN["latin", "f"]
+    assert sorted(by_text.values()) == [4] * 5
+    last = next(r.text for r in got if r.doc_id == 9)
+    assert re.fullmatch(r"Dr \S+ (\S+) spoke\. \1 left\.", last)
+
+
+def test_short_addresses_keep_their_form():
+    a, b = swap("2001:db8::1"), swap("2001:0db8:0:0:0:0:0:1")
+    assert "::" in a and "::" not in b and normal("ip6", a) == normal("ip6", b) != normal("ip6", "2001:db8::1")
