@@ -1,13 +1,17 @@
-"""An FM-index over word sequences: suffix order, Burrows-Wheeler transform, wavelet matrix.
+"""A compressed FM-index over word sequences: Burrows-Wheeler transform, wavelet matrix, sampled suffix positions.
 
-Everything is vectorised over patterns. Suffixes are sorted to the depth that patterns
-need; bits of the wavelet matrix are packed, with a running count for each 64 of them.
+Everything is vectorised over patterns. Bits of the wavelet matrix are packed, with a running
+count for each 64 of them; of the suffix order, which is only there while the index is built,
+every RATE-th position of the text is kept, and the others are found by walking to the left.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+#: One position in so many is kept.
+RATE = 4
+
 
 class Bits:
     """A bit vector with rank."""
@@ -26,6 +30,9 @@ class Bits:
         mask = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
         return self.before[word] + np.bitwise_count(self.words[word] & mask).astype(np.int32)
 
+    def get(self, i: np.ndarray) -> np.ndarray:
+        return (self.words[i >> 6] >> (i & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
 
 class WaveletMatrix:
     def __init__(self, symbols: np.ndarray, sigma: int):
@@ -47,13 +54,22 @@ class WaveletMatrix:
             i = np.where(one, zeros + ones, i - ones)
         return i - self.begin[symbol] if whole else i
 
+    def at(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols at i, and how often each stands before."""
+        i, symbol = i.astype(np.int64), np.zeros(len(i), dtype=np.int64)
+        for bits, zeros in self.levels:
+            one, ones = bits.get(i), bits.rank(i)
+            symbol = symbol << 1 | one
+            i = np.where(one, zeros + ones, i - ones)
+        return symbol, i - self.begin[symbol]
+
 
-def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes by their first depth symbols at least, ties by position."""
+def suffix_order(text: np.ndarray) -> np.ndarray:
+    """The suffixes in order, by prefix doubling."""
     n = len(text)
     rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
     order, h = np.argsort(rank, kind="stable"), 1
-    while h < depth:
+    while h < n:
         after = np.zeros(n, dtype=np.int64)
         after[: max(0, n - h)] = rank[h:] + 1
         key = rank * (n + 1) + after
@@ -68,16 +84,30 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
 
 
 class FMIndex:
-    """Over a text of symbols 0 .. sigma - 1, for patterns of up to depth symbols."""
+    """Over a text of symbols 0 .. sigma - 1, in which 0 ends a segment and no pattern holds it."""
 
-    def __init__(self, text: np.ndarray, sigma: int, depth: int):
-        self.order = suffix_order(text, depth)
-        self.tree = WaveletMatrix(text[self.order - 1], sigma)
+    def __init__(self, text: np.ndarray, sigma: int):
+        self.n = len(text)
+        order = suffix_order(text)
+        self.tree = WaveletMatrix(text[order - 1], sigma)
         self.first = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=sigma))))
+        kept = (order % RATE == 0) | (text[order - 1] == 0)  # a walk ends where its segment begins
+        self.kept, self.places = Bits(kept), order[kept].astype(np.int32)
+
+    def locate(self, row: np.ndarray) -> np.ndarray:
+        """The positions in the text of the suffixes in these rows."""
+        out, steps, live = np.zeros(len(row), dtype=np.int64), 0, np.arange(len(row))
+        while len(live):
+            here = self.kept.get(row)
+            out[live[here]] = self.places[self.kept.rank(row[here])] + steps
+            live, row = live[~here], row[~here]
+            symbol, before = self.tree.at(row)
+            row, steps = self.first[symbol] + before, steps + 1
+        return out
 
     def step(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The intervals of the patterns with symbol put before; equal questions are asked once."""
-        key = lo * (len(self.order) + 1) + hi
+        key = lo * (self.n + 1) + hi
         order = np.lexsort((symbol, key))
         k, s = key[order], symbol[order]
         new = np.concatenate(([True], (k[1:] != k[:-1]) | (s[1:] != s[:-1])))
@@ -88,19 +118,22 @@ class FMIndex:
         out_lo[order], out_hi[order] = (self.first[s] + both[:n])[back], (self.first[s] + both[n:])[back]
         return out_lo, out_hi
 
-    def repeated(self, text: np.ndarray, at: np.ndarray, length) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Which of the patterns text[a : a + length] occur twice or more, and their intervals (index into at, lo, hi).
+    def statistics(self, text: np.ndarray, at: np.ndarray, length) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Matching statistics of the patterns text[a : a + length] of a text that this indexes, and those above the threshold.
 
-        length is a number, or one for each pattern. Backward search over all patterns at once; one is
-        given up as soon as a suffix of it occurs once only.
+        The statistic of a pattern is the length of its longest suffix that occurs twice or more: backward search
+        extends it to the left, over all patterns at once, until it occurs once only. Patterns whose statistic is
+        their length are reported with their interval (index into at, lo, hi). length is a number, or one for each.
         """
         length = np.broadcast_to(length, len(at))
         symbol = text[at + length - 1]
         lo, hi, live = self.first[symbol], self.first[symbol + 1], np.arange(len(at))
+        matched = np.zeros(len(at), dtype=np.int64)
         found = []
         step = 1
         while len(live):
             keep = hi - lo > 1
+            matched[live[keep]] = step
             done = keep & (length[live] == step)
             found.append((live[done], lo[done], hi[done]))
             keep &= length[live] > step
@@ -110,12 +143,13 @@ class FMIndex:
                 lo, hi = self.step(text[at[live] + length[live] - step], lo, hi)
         live, lo, hi = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
         order = np.argsort(live)
-        return live[order], lo[order], hi[order]
+        return matched, (live[order], lo[order], hi[order])
 
     def earliest(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """The first position in the text of each interval's suffixes."""
         if not len(lo):
             return np.zeros(0, dtype=np.int64)
-        one, back = np.unique(lo * (len(self.order) + 1) + hi, return_inverse=True)
-        bounds = np.stack((one // (len(self.order) + 1), one % (len(self.order) + 1)), axis=1).ravel()
-        return np.minimum.reduceat(np.append(self.order, 0), bounds)[::2][back]
+        one, back = np.unique(lo * (self.n + 1) + hi, return_inverse=True)
+        lo, size = one // (self.n + 1), one % (self.n + 1) - one // (self.n + 1)
+        begin = np.cumsum(size) - size
+        return np.minimum.reduceat(self.locate(np.arange(int(size.sum())) - np.repeat(begin - lo, size)), begin)[back]

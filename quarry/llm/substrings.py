@@ -4,9 +4,9 @@ A window is so many consecutive words. Windows are sent to shards by their minim
 smallest hash of a five-word sequence in them, so that equal windows meet; neighbouring
 windows of one minimiser travel as one segment. Minimisers that occur once in the corpus
 are found first, from their hashes alone, and their windows are done. Each shard builds an
-FM-index of its segments; backward search over its wavelet matrix extends every window's
-match from the right until it is unique, and reports the intervals that reach the window's
-length. The earliest position of an interval tells which windows start earlier elsewhere.
+compressed FM-index of its segments; backward search over its wavelet matrix gives matching
+statistics: it extends every window's match from the right until it is unique, and reports the
+intervals that reach the window's length. The earliest position of an interval tells which windows start earlier elsewhere.
 
 Equal texts, and equal segments, are collapsed before they are sent: the later ones are
 repeated by that alone. A minimiser that is very common by itself sends its windows by
@@ -306,16 +306,16 @@ def _search(blobs: pa.Table, window: int) -> pa.Table:
         place = np.cumsum(size + 1) - size - 1
         text = np.zeros(int((size + 1).sum()), dtype=np.int64)
         text[np.repeat(place, size) + _runs(size)] = symbol[np.repeat(begin, size) + _runs(size)]
-        index = FMIndex(text, sigma, window)
+        index = FMIndex(text, sigma)
         # What all windows of a segment share comes first: where that is unique, so are they.
         core = window - n + 1
         tried = np.ones(len(n), dtype=bool)
         some = np.flatnonzero((core > 0) & (n > 1))
         tried[some] = False
-        tried[some[index.repeated(text, (place + n - 1)[some], core[some])[0]]] = True
+        tried[some[index.statistics(text, (place + n - 1)[some], core[some])[0] == core[some]]] = True
         own = np.repeat(np.arange(len(n)), np.where(tried, n, 0))
         at = place[own] + _runs(np.where(tried, n, 0))
-        found, lo, hi = index.repeated(text, at, window)
+        found, lo, hi = index.statistics(text, at, window)[1]
         later = found[index.earliest(lo, hi) < at[found]]
         s = own[later]
         hits.append((seg["doc"][s], seg["mark"][s], (seg["start"][s] + at[later] - place[s]).astype(np.uint32), np.ones(len(later), np.uint32)))

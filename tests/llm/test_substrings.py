@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from quarry.llm import substrings
-from quarry.llm.fm_index import Bits, FMIndex, WaveletMatrix
+from quarry.llm.fm_index import Bits, FMIndex, WaveletMatrix, suffix_order
 from quarry.llm.substrings import remove_repeats
 
 
@@ -82,9 +82,14 @@ def test_rank_and_search():
     for s in range(11):
         assert (tree.rank(np.full(3001, s), np.arange(3001)) == np.concatenate(([0], np.cumsum(text == s)))).all()
     text = np.append(rng.integers(1, 4, 600), 0)
-    index = FMIndex(text, 4, 6)
+    index = FMIndex(text, 4)
+    assert (index.locate(np.arange(601)) == suffix_order(text)).all() and len(index.places) < 601 // 2
+    symbol, before = WaveletMatrix(text, 4).at(np.arange(601))
+    assert (symbol == text).all() and before.tolist() == [int((text[:i] == text[i]).sum()) for i in range(601)]
     at = np.arange(600 - 5)
-    found, lo, hi = index.repeated(text, at, 6)
+    matched, (found, lo, hi) = index.statistics(text, at, 6)
+    twice = lambda w: sum(tuple(text[i : i + len(w)]) == w for i in range(601)) > 1
+    assert matched.tolist() == [max((m for m in range(1, 7) if twice(tuple(text[a + 6 - m : a + 6]))), default=0) for a in at]
     words = [tuple(text[a : a + 6]) for a in at]
     where = {}
     for a, w in enumerate(words):
