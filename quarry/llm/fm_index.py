@@ -65,22 +65,30 @@ class WaveletMatrix:
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
-    """The suffixes in order, by prefix doubling."""
+    """The suffixes in order, by prefix doubling: each round sorts only those that others still equal so far."""
     n = len(text)
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-    order, h = np.argsort(rank, kind="stable"), 1
-    while h < n:
-        after = np.zeros(n, dtype=np.int64)
-        after[: max(0, n - h)] = rank[h:] + 1
-        key = rank * (n + 1) + after
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        new = np.concatenate(([0], np.cumsum(key[1:] != key[:-1])))
-        rank[order] = new
-        if new[-1] == n - 1:
-            break
+    word = np.concatenate((np.unique(text, return_inverse=True)[1] + 1, np.zeros(2, np.int64)))
+    base = int(word.max(initial=0)) + 1
+    key, h = (word[:n], 1) if base**3 >= 2**62 else ((word[:n] * base + word[1 : n + 1]) * base + word[2 : n + 2], 3)
+    order, live = np.argsort(key, kind="stable"), np.arange(n)
+    key, pos = key[order], order
+    rank = np.zeros(n, dtype=np.int64)  # the first row of a suffix's group
+    while True:
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+        size = np.diff(np.append(first, len(key)))
+        rank[pos] = live[np.repeat(first, size)]
+        live = live[np.repeat(size > 1, size)]
+        if not len(live):
+            return order
+        pos = order[live]
+        after = np.zeros(len(pos), dtype=np.int64)
+        more = pos + h < n
+        after[more] = rank[pos[more] + h] + 1
+        key = rank[pos] * (n + 1) + after
+        by = np.argsort(key, kind="stable")
+        key, pos = key[by], pos[by]
+        order[live] = pos
         h *= 2
-    return order
 
 
 class FMIndex:
