@@ -10,6 +10,8 @@ finds each row's place in the mixture again and returns it beside the ids.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,21 @@ from quarry.llm import queries as q
 from quarry.llm._common import materialise, settled, table
 
 
+#: Rows of an Arrow batch: texts are long, and a task holds several batches at a time, in the JVM and in Python.
+BATCH_ROWS = 1000
+
+
+def _bounded(stage):
+    """The stage, with small Arrow batches."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts. It is fitted on the labelled rows of the corpus, as in op6.
 
@@ -68,7 +85,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "lang", "source", "block", "slot", "position", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 
-STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("pii", pii), ("mixing", mixing), ("bpe", tokens)]
+STAGES = [(name, _bounded(stage)) for name, stage in (("quality", quality), ("near_duplicates", near_duplicates), ("pii", pii), ("mixing", mixing), ("bpe", tokens))]
 
 #: Models, set joins and a vocabulary's merges have no SQL; the tests hold run() against brute force.
 ORACLE_SQL = None
