@@ -269,6 +269,23 @@ def catalogue_read(spark, sf_dir):
     return tables.read_catalogue(spark, path)
 
 
+@query(
+    """SELECT 'f' AS file, 'orders' AS "table", 'sold' AS comment, 'order_id' AS key, 'serial' AS key_kind, 'changed' AS modified, NULL AS created, 'order_id,total,changed' AS fields
+    UNION ALL SELECT 'f', 'lines', NULL, 'line', 'unique', NULL, NULL, 'note,line'"""
+)
+def schema_exports(spark, sf_dir):
+    from quarry.sources import schema_export
+
+    path = tables.scratch_path(spark, "export")
+    xml = (
+        '<FMSaveAsXML File="f"><BaseTable name="orders" comment="sold"/><C><BaseTableReference name="orders"/><ObjectList><Field name="order_id" datatype="Number"><AutoEnter type="SerialNumber"/></Field>'
+        '<Field name="total" datatype="Number"/><Field name="changed" datatype="Timestamp"><AutoEnter type="ModificationTimestamp"/></Field></ObjectList></C>'
+        '<C><BaseTableReference name="lines"/><ObjectList><Field name="note"/><Field name="line"><Validation unique="True" notEmpty="True"/></Field></ObjectList></C></FMSaveAsXML>'
+    )
+    spark.createDataFrame([(xml,)], "value string").coalesce(1).write.text(path)
+    return schema_export.read_exports(spark, f"{path}/part-*").withColumn("fields", F.array_join("fields.name", ","))
+
+
 @query("SELECT * FROM (VALUES ('c', 'alpha'), ('T_orderLines', 'T Order Lines'), ('b', 'Zed')) t(name, label)")
 def names_displayed(spark, sf_dir):
     return profile.display_names(spark.createDataFrame([("T_orderLines", None, " "), ("b", "Zed", None), ("c", None, "alpha")], "name string, saved string, proposed string"))
@@ -462,3 +479,25 @@ def paged_pull(spark, sf_dir):
     schema = T.StructType([T.StructField("n_nationkey", T.IntegerType()), T.StructField("n_name", T.StringType())])
     kind = paged.source("served", lambda table, columns, skip, top, since: held[skip : skip + top], lambda table, since: len(held), schema)
     return paged.pull(spark, kind, "nation", schema, page=7)
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def paged_pull_resumed(spark, sf_dir):
+    """A pull whose load failed: the next one finds all spans fetched, and loads them."""
+    from quarry.sources import paged
+
+    held = [r.asDict() for r in read(spark, sf_dir, "nation").select("n_nationkey", "n_name").orderBy("n_nationkey").collect()]  # 25 rows, the service's own data
+    schema = T.StructType([T.StructField("n_nationkey", T.IntegerType()), T.StructField("n_name", T.StringType())])
+
+    def refuse(rows):
+        raise InterruptedError("before the load")
+
+    cat = tables.Catalog(spark, tables.scratch_path(spark, "pulled"))
+    kind = paged.source("served_once", lambda table, columns, skip, top, since: held[skip : skip + top], lambda table, since: len(held), schema)
+    try:
+        paged.staged_pull(cat, kind, "nation", schema, page=4, span=12, load=refuse)
+    except InterruptedError:
+        pass
+    kind = paged.source("served_once", lambda table, columns, skip, top, since: 1 / 0, lambda table, since: len(held), schema)  # asked for a page, it would fail
+    paged.staged_pull(cat, kind, "nation", schema, page=4, span=12)
+    return cat.table("nation")

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from quarry.config import Stages
 from quarry.operators import changes, evaluate, index, profile, stages
-from quarry.sources import paged, tables
+from quarry.sources import paged, schema_export, tables
 from quarry.streaming import flows
 
 
@@ -48,6 +48,82 @@ def test_catalogue(spark, tmp_path):
     assert rows(tables.read_catalogue(spark, str(tmp_path / "s.xml"))) == [("f", "T", "a & b", "Text", "c"), ("f", "T", "z", "Number", None)]
 
 
+EXPORT = """<FMSaveAsXML File="{file}"><BaseTableCatalog><BaseTable name="A &amp; B" comment=" both "/><BaseTable name="C" comment=""/></BaseTableCatalog>
+<FieldsForTables><FieldCatalog><BaseTableReference name="A &amp; B"/><ObjectList>
+<Field name="n" datatype="Text" fieldtype="Normal" comment="c"><Validation unique="True" notEmpty="True"/></Field>
+<Field name="no" datatype="Number" fieldtype="Normal"><AutoEnter type="SerialNumber"/></Field>
+<Field name="row_id" datatype="Number" fieldtype="Normal"><AutoEnter type="SerialNumber"/></Field>
+<Field name="day" datatype="Date" fieldtype="Normal"><AutoEnter type="ModificationTimestamp"/></Field>
+<Field name="mod" datatype="Timestamp" fieldtype="Normal"><AutoEnter type="ModificationTimestamp"/></Field>
+<Field name="made" datatype="Timestamp" fieldtype="Normal"><AutoEnter type="CreationTimestamp"/></Field>
+<Field name="sum" datatype="Number" fieldtype="Calculated"><Storage global="True" storeCalculationResults="True"/></Field>
+</ObjectList></FieldCatalog><FieldCatalog><BaseTableReference name="C"></BaseTableReference><ObjectList>
+<Field name="code" datatype="Text" fieldtype="Normal"><Validation unique="True"/></Field>
+<Field name="pk" datatype="Text" fieldtype="Normal"><AutoEnter type="Calculated"><Calculation><Text>Get ( UUID )</Text></Calculation></AutoEnter></Field>
+</ObjectList></FieldCatalog><FieldCatalog><BaseTableReference name="C"/><ObjectList><Field name="again"/></ObjectList></FieldCatalog>
+<FieldCatalog><BaseTableReference name="D"/><ObjectList></ObjectList></FieldCatalog></FieldsForTables></FMSaveAsXML>"""
+
+
+def test_schema_exports(spark, tmp_path):
+    (tmp_path / "a.xml").write_text('<?xml version="1.0" encoding="UTF-16"?>' + EXPORT.format(file="a"), encoding="utf-16")
+    (tmp_path / "b.xml").write_text(EXPORT.format(file="b"))
+    df = schema_export.read_exports(spark, str(tmp_path))
+    got = {(r.file, r.table): r for r in df.collect()}
+    assert sorted(got) == [("a", "A & B"), ("a", "C"), ("b", "A & B"), ("b", "C")]
+    one, two = got["a", "A & B"], got["b", "C"]
+    assert (one.comment, one.key, one.key_kind, one.modified, one.created) == ("both", "row_id", "serial", "mod", "made")
+    assert [f.name for f in one.fields] == ["n", "no", "row_id", "day", "mod", "made", "sum"]
+    assert tuple(one.fields[0]) == ("n", "Text", "Normal", "c", False, False) and tuple(one.fields[-1]) == ("sum", "Number", "Calculated", None, True, True)
+    assert (two.comment, two.key, two.key_kind, two.modified, two.created) == (None, "pk", "uuid", None, None)
+    merged = schema_export.merge_exports(df, df.where("file = 'a' AND table = 'C'"))
+    assert sorted((r.file, r.table) for r in merged.collect()) == [("a", "C"), ("b", "A & B"), ("b", "C")]
+    with pytest.raises(ValueError):
+        schema_export.parse(b"<Other/>")
+
+
+def test_staged_pull(spark, tmp_path):
+    cat, asked = tables.Catalog(spark, str(tmp_path / "cat")), tmp_path / "asked"
+    cat.replace("t", spark.range(2))
+    asked.mkdir()
+    schema = T.StructType([T.StructField("id", T.LongType())])
+
+    def kind(n, broken=None):
+        def fetch(table, columns, skip, top, since):
+            if skip == broken:
+                raise OSError("the service is down")
+            (asked / f"{skip}-{skip + top}").touch()
+            return [{"id": i} for i in range(skip, skip + top)]
+
+        return paged.source("staged", fetch, lambda table, since: n, schema)
+
+    def seen():
+        out = {p.name for p in asked.iterdir()}
+        for p in asked.iterdir():
+            p.unlink()
+        return out
+
+    ids = lambda: sorted(r.id for r in cat.table("t").collect())
+    with pytest.raises(Exception, match="the service is down"):
+        paged.staged_pull(cat, kind(25, broken=20), "t", schema, page=5, span=10)
+    assert ids() == [0, 1] and cat.names() == ["t"] and seen() >= {"0-5", "5-10", "10-15", "15-20"}
+    paged.staged_pull(cat, kind(27), "t", schema, page=5, span=10)  # it has grown meanwhile
+    assert ids() == list(range(27)) and seen() == {"20-25", "25-27"} and not cat.fs.exists(cat._path(paged.PULLS, "t"))
+
+    def refused(rows):
+        raise RuntimeError("not loaded")
+
+    with pytest.raises(RuntimeError):
+        paged.staged_pull(cat, kind(12), "t", schema, page=5, span=10, load=refused)
+    assert len(seen()) == 3
+    assert paged.staged_pull(cat, kind(12), "t", schema, page=5, span=10, load=lambda rows: rows.count()) == 12 and seen() == set()
+    stops = iter([False, True])
+    with pytest.raises(paged.Cancelled):
+        paged.staged_pull(cat, kind(30), "t", schema, page=5, span=10, should_stop=lambda: next(stops))
+    assert ids() == list(range(27)) and not cat.fs.exists(cat._path(paged.PULLS, "t"))
+    paged.staged_pull(cat, kind(0), "t", schema, page=5, span=10)
+    assert ids() == []
+
+
 def test_paged_source(spark):
     held = [{"id": i, "mod": f"2024-01-{i + 1:02d}", "x": "drop"} for i in range(25)]
 
