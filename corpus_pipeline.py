@@ -23,17 +23,31 @@ from quarry.llm._common import materialise, settled, table
 BATCH_ROWS = 1000
 
 
+#: The columns of documents. Others go through the stages as one, so that none can have the name of an operator's own.
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+OTHERS = "_others"
+
+
 def _bounded(stage):
-    """The stage, with small Arrow batches."""
+    """The stage, with small Arrow batches, and apart from columns that documents haven't."""
 
     @wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-        return stage(spark, docs, sf_dir)
+        others = [c for c in docs.columns if c not in COLUMNS]
+        if not others:
+            return stage(spark, docs, sf_dir)
+        packed = F.struct(*(docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(others)))
+        out = stage(spark, docs.select(*(c for c in docs.columns if c in COLUMNS), packed.alias(OTHERS)), sf_dir)
+        if OTHERS not in out.columns:
+            return out
+        at = {c: F.col(f"{OTHERS}.c{i}").alias(c) for i, c in enumerate(others)}
+        return out.select(*(at.get(c, c) for c in docs.columns))
 
     return run_stage
 
 
+@_bounded
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts. It is fitted on the labelled rows of the corpus, as in op6.
 
@@ -43,6 +57,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return score(docs, q.quality_machine(spark, sf_dir), threshold=0.7).where("predicted = 1").select(*docs.columns)
 
 
+@_bounded
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each component; of rows that repeat an id, all whose id stays. Rows without an id stay."""
     from quarry.llm.jaccard import jaccard_components
@@ -52,6 +67,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
+@_bounded
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their entities replaced by surrogates; n_chars follows the text."""
     from quarry.llm.pii import replace
@@ -60,6 +76,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
+@_bounded
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, written in the order of the mixture. Sources and ids may be null; rows alike in all columns follow one another."""
     from quarry.llm.mixing import mix
@@ -67,6 +84,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mix(docs, q.MIX_WEIGHTS, default_weight=1, block_rows=64).select(*docs.columns)
 
 
+@_bounded
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of every text, a digest of them and of what they decode to, and the row's place in the mixture, in its order.
 
@@ -85,7 +103,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "lang", "source", "block", "slot", "position", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 
-STAGES = [(name, _bounded(stage)) for name, stage in (("quality", quality), ("near_duplicates", near_duplicates), ("pii", pii), ("mixing", mixing), ("bpe", tokens))]
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("pii", pii), ("mixing", mixing), ("bpe", tokens)]
 
 #: Models, set joins and a vocabulary's merges have no SQL; the tests hold run() against brute force.
 ORACLE_SQL = None
