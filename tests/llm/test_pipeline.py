@@ -62,3 +62,16 @@ def test_place_outlasts_files(spark):
     want = {r.doc_id: (r.block, r.slot, r.position) for r in mixed_ids(kept, q.MIX_WEIGHTS).collect()}
     assert {r.doc_id: (r.block, r.slot, r.position) for r in out} == want
     assert [r.position for r in out] == list(range(len(want)))
+
+
+def test_columns_named_as_the_operators_own(spark):
+    # Nulls in every column, repeated rows and ids, empty and long texts too.
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, text, "en", "src0", 9), (1, text, "en", "src0", 9), (2, text, "en", None, None), (None, None, None, None, None), (5, "", "de", "src1", 0), (6, "mail a.b@example.com " * 20000, "en", "src2", 9)]
+    extra = ["predicted", "score", "block", "slot", "position", "_in", "_key", "part", "key", "ids", "_text", "_own"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in extra)
+    docs = spark.createDataFrame([(*r, *(f"{c} {i}" for c in extra)) for i, r in enumerate(rows)], schema)
+    own = lambda df: sorted((tuple(r) for r in df.select("doc_id", *extra).collect()), key=str)
+    good, mixed = corpus_pipeline.quality(spark, docs, SF), corpus_pipeline.mixing(spark, docs, SF)
+    assert good.columns == mixed.columns == docs.columns
+    assert set(own(good)) <= set(own(docs)) and own(mixed) == own(docs)
