@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import queries as q
-from quarry.llm._common import materialise, settled, table
+from quarry.llm._common import materialise, settled, table, trim
 
 
 #: Rows of an Arrow batch: texts are long, and a task holds several batches at a time, in the JVM and in Python.
@@ -29,11 +29,12 @@ OTHERS = "_others"
 
 
 def _bounded(stage):
-    """The stage, with small Arrow batches, and apart from columns that documents haven't."""
+    """The stage, with small Arrow batches, begun with trimmed executors, and apart from columns that documents haven't."""
 
     @wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        trim(spark)  # the heap of the stage before would stand beside this one's Python workers
         others = [c for c in docs.columns if c not in COLUMNS]
         if not others:
             return stage(spark, docs, sf_dir)

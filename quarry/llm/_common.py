@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -91,6 +92,16 @@ def release() -> None:
         trim(0)
 
 
+def trim(spark: SparkSession) -> None:
+    """Let executors give unused heap back to the system: a JVM keeps what it once took until a full collection.
+
+    A task for each core, so that idle executors all get one; a local session has one JVM.
+    """
+    sc = spark.sparkContext
+    n = 1 if re.match(r"local($|\[)", sc.master) else sc.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser on uint64."""
     with np.errstate(over="ignore"):

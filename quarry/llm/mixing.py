@@ -19,6 +19,7 @@ import heapq
 from bisect import bisect_right
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -37,6 +38,12 @@ PART_ROWS, PARTS, LARGE_ROWS = 4096, 4096, 50_000
 MAX_CUTS = 200_000
 
 
+#: Plans and borders go to Spark by Arrow: rows of Python would start other Python workers on the executors, which stay.
+_PLAN = pa.schema([("_of", pa.string()), ("_weight", pa.int32()), ("_slots", pa.list_(pa.int32())), ("_cycle", pa.int64())])
+_CUT = pa.struct([("key", pa.string()), ("part", pa.int32()), ("n", pa.int64()), ("position", pa.int64()), ("slot", pa.int64())])
+_BORDERS = pa.schema([("_from", pa.string()), ("_digits", pa.string()), ("_cuts", pa.list_(_CUT))])
+
+
 def schedule(weights: list[int]) -> list[list[int]]:
     """The slots of each source's turns in one cycle: of the released blocks that of the earliest deadline has
     a slot, and of equal ones that of the first source."""
@@ -63,8 +70,8 @@ def _plan(rows: DataFrame, weights: dict[str, int], default_weight: int) -> Data
         raise ValueError("weights are positive integers")
     if sum(w) > MAX_CYCLE:
         raise ValueError(f"the weights of all sources add up to over {MAX_CYCLE}")
-    plan = [(s, x, own, sum(w)) for s, x, own in zip(sources, w, schedule(w), strict=True)]
-    return rows.sparkSession.createDataFrame(plan, "_of string, _weight int, _slots array<int>, _cycle long")
+    plan = pa.table([sources, w, schedule(w), [sum(w)] * len(w)], schema=_PLAN)
+    return rows.sparkSession.createDataFrame(plan)
 
 
 def _slotted(rows: DataFrame, plan: DataFrame, block_rows: int) -> DataFrame:
@@ -177,7 +184,9 @@ def _borders(spark, cuts: list, starts: dict) -> tuple[int, DataFrame]:
         keys = [c[0] for c in own]
         for lead in (f"{i:0{digits}x}" if digits else "" for i in range(16**digits)):
             rows.append((source, lead, own[max(0, bisect_right(keys, lead) - 1) : bisect_right(keys, lead + "~")]))
-    return digits, spark.createDataFrame(rows, "_from string, _digits string, _cuts array<struct<key string, part int, n long, position long, slot long>>")
+    names, leads, cuts_of = zip(*rows, strict=True) if rows else ((), (), ())
+    cuts_of = [[dict(zip(_CUT.names, c, strict=True)) for c in some] for some in cuts_of]
+    return digits, spark.createDataFrame(pa.table([names, leads, cuts_of], schema=_BORDERS))
 
 
 def mixed_ids(docs: DataFrame, weights: dict[str, int], default_weight: int = 1, block_rows: int = 64) -> DataFrame:

@@ -75,3 +75,29 @@ def test_columns_named_as_the_operators_own(spark):
     good, mixed = corpus_pipeline.quality(spark, docs, SF), corpus_pipeline.mixing(spark, docs, SF)
     assert good.columns == mixed.columns == docs.columns
     assert set(own(good)) <= set(own(docs)) and own(mixed) == own(docs)
+
+
+def test_stages_give_heap_back(spark):
+    # An executor's heap grows from stage to stage, as only full collections shrink it.
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if "Young" not in b.getName())
+    documents = table(spark, SF, "documents").limit(10)
+    before = full()
+    corpus_pipeline.mixing(spark, documents, SF)
+    assert full() > before
+
+
+def test_plans_start_no_python_workers(spark):
+    # Rows of Python lists are read by workers of their own, beside those of the stages.
+    from quarry.llm.mixing import _borders, _plan
+
+    cuts = [{"source": s, "_part": p, "key": k, "_n": n} for s, p, k, n in [("a", 0, "1f", 0), ("a", 1, "80", 5), (None, 0, "00", 0)]]
+    digits, borders = _borders(spark, cuts, {0: (0, 0), 1: (9, 2)})
+    plan = _plan(table(spark, SF, "documents"), q.MIX_WEIGHTS, 1)
+    for df in (borders, plan):
+        assert "RDD" not in df._jdf.queryExecution().executedPlan().toString()
+    assert borders.schema.simpleString() == "struct<_from:string,_digits:string,_cuts:array<struct<key:string,part:int,n:bigint,position:bigint,slot:bigint>>>"
+    rows = {(r["_from"], r["_digits"]): [tuple(c) for c in r["_cuts"]] for r in borders.collect()}
+    assert digits == 3 and len(rows) == 2 * 4096
+    assert rows["a", "7ff"] == [("", 0, 0, 0, 0)] and rows["a", "800"] == [("80", 1, 5, 9, 2)] and rows[None, "fff"] == [("", 0, 0, 0, 0)]
+    assert plan.schema.simpleString() == "struct<_of:string,_weight:int,_slots:array<int>,_cycle:bigint>"
